@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, pii
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op8_pii": pii.op8_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
