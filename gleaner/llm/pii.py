@@ -32,7 +32,7 @@ Span = tuple[str, int, int]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+IP = re.compile(r"([0-9](?<![0-9]{2})[0-9]*+)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -129,11 +129,25 @@ def homoglyphs() -> dict[str, str]:
 
 
 @cache
-def homoglyph_pattern() -> re.Pattern:
-    return re.compile("[" + "".join(map(re.escape, sorted(homoglyphs()))) + "]")
+def glyph_set() -> frozenset[str]:
+    return frozenset(homoglyphs())
 
 
-_NAME = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
+
+
+def trie_pattern(words: list[str]) -> str:
+    """An alternation of the words that shares prefixes; the longest word wins."""
+    if words == [""]:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    body = "|".join(re.escape(c) + trie_pattern(tails) for c, tails in heads.items())
+    return f"(?:{body})?" if "" in words else f"(?:{body})"
+
+
+_NAME = trie_pattern(sorted(DIGIT_OF))
 SPELLED = re.compile(rf"(?<!\w){_NAME}(?:[ \t\n,-]{{1,3}}{_NAME})+(?!\w)", re.I)
 ONE_SPELLED = re.compile(rf"(?<!\w){_NAME}(?!\w)", re.I)
 BRACKET_SIGN = re.compile(rf"\s?{OPEN}\s?(?:(?P<at>{AT_WORDS}|@)|(?P<dot>{DOT_WORDS}|\.))\s?{CLOSE}\s?", re.I)
@@ -174,8 +188,11 @@ class Aligned:
 
 
 def glyphs(x: Aligned) -> Aligned:
-    table = homoglyphs()
-    return x.edited([(*m.span(), table[m[0]]) for m in homoglyph_pattern().finditer(x.text)])
+    table, present = homoglyphs(), glyph_set().intersection(x.text)
+    if not present:
+        return x
+    pattern = re.compile("[" + "".join(map(re.escape, sorted(present))) + "]")
+    return x.edited([(*m.span(), table[m[0]]) for m in pattern.finditer(x.text)])
 
 
 def spelled_digits(x: Aligned) -> Aligned:
@@ -207,6 +224,7 @@ def signs(x: Aligned) -> Aligned:
 
 TRANSDUCERS = (glyphs, spelled_digits, signs)
 SPELLED_HINT = re.compile(rf"(?<!\w){_NAME}[ \t\n,-]{{1,3}}{_NAME}(?!\w)", re.I)
+SECOND_NAME = re.compile(rf"[ \t\n,-]{_NAME}(?!\w)")
 SIGN_HINT = re.compile(
     rf"{OPEN}\s?(?:{AT_WORDS}|@|{DOT_WORDS}|\.|plus)\s?{CLOSE}| {DOT_WORDS} | @|@ |(?:plus|más)\s?[0-9]", re.I
 )
@@ -214,9 +232,9 @@ SIGN_HINT = re.compile(
 
 def has_work(text: str) -> bool:
     """Whether any transducer could change the text; False is certain."""
-    if not text.isascii() and homoglyph_pattern().search(text):
+    if not text.isascii() and not glyph_set().isdisjoint(text):
         return True
-    return bool(SPELLED_HINT.search(text) or SIGN_HINT.search(text))
+    return bool(SECOND_NAME.search(text.lower()) and SPELLED_HINT.search(text) or SIGN_HINT.search(text))
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:

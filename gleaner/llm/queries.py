@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pii
+from . import decontaminate, pii, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op8_pii": pii.op8_pii,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
