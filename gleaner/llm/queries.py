@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pii, quality
+from . import decontaminate, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_pii": pii.op8_pii,
     "op10_quality": quality.op10_quality,
 }
