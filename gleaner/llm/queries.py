@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pii, quality, toxicity
+from . import decontaminate, langid, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_langid": langid.op7_langid,
     "op8_pii": pii.op8_pii,
     "op10_quality": quality.op10_quality,
 }
