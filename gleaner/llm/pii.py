@@ -95,8 +95,14 @@ LOOKALIKES = {
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
 }
 #: Other signs for @ . - + and space; and characters without width.
-SIGNS = {"@": "＠﹫", ".": "．。｡․·•∙⋅", "-": "‐‑‒–—―−﹣－", "+": "＋﹢⁺", " ": "      　"}
-NO_WIDTH = "​‌‍⁠﻿­͏᠎"
+SIGNS = {
+    "@": "\uff20\ufe6b",
+    ".": "\uff0e\uff61\u3002\u2024\u00b7\u2022\u2219\u22c5",
+    "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe63\uff0d",
+    "+": "\uff0b\ufe62\u207a",
+    " ": "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000",
+}
+NO_WIDTH = "\u00ad\u034f\u180e\u200b\u200c\u200d\u2060\u2061\ufeff"
 #: Names of the digits 0-9 in four languages.
 DIGIT_NAMES = (
     "zero one two three four five six seven eight nine",

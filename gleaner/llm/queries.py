@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, pii, quality, toxicity
+from . import bpe, decontaminate, langid, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_bpe": bpe.op3_bpe,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_langid": langid.op7_langid,
     "op8_pii": pii.op8_pii,
