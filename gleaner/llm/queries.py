@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, pii, quality, toxicity
+from . import bpe, decontaminate, jaccard_join, langid, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_bpe": bpe.op3_bpe,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_langid": langid.op7_langid,
     "op8_pii": pii.op8_pii,
