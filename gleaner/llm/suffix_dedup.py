@@ -196,6 +196,8 @@ class Chunk:
 
 
 def _by_shard(h: np.ndarray, shards: int):
+    if not len(h):
+        return
     shard = shard_of(h, shards)
     order = np.argsort(shard, kind="stable")
     cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
@@ -269,8 +271,13 @@ def _flagged(chunk: Chunk, flags: pa.Table, shards: int) -> np.ndarray:
     return own[marked]
 
 
-def _second_scan(length: int, gram: int):
-    """Round 2, shard side: for each record a bit for each offset at which its string starts in a smaller document."""
+def _second_scan(length: int, gram: int, paired: int):
+    """Round 2, shard side: for each record a bit for each offset at which its string starts in a smaller document.
+
+    The family first finds the smallest document of each distinct record. Distinct records of one anchor string are then
+    neighbours in suffix order: in groups of up to `paired` all pairs are extended left and right as far as they agree;
+    in larger groups each offset's strings are sorted.
+    """
     import zstandard
 
     side, span = length - gram, 2 * length - gram
@@ -285,32 +292,93 @@ def _second_scan(length: int, gram: int):
             sizes.append(n)
         data, doc = np.concatenate(rows), np.concatenate(docs)
         bounds = np.concatenate(([0], np.cumsum(sizes)))
-        left, right = data[:, span].astype(np.int64), data[:, span + 1].astype(np.int64)
-        value, up = _byte_values(), int(BASE)
-        top = np.uint64(pow(up, length - 1, 1 << 64))
-        key = np.zeros(len(data), np.uint64)
-        for i in range(length):
-            key = key * BASE + value[data[:, i]]
+        leader = _leaders(data, doc, bounds)
+        own = np.flatnonzero(leader == np.arange(len(data)))
+        left, right = data[:, span], data[:, span + 1]
         found = np.zeros(len(data), np.uint32)
-        for start in range(side + 1):  # the string begins `side - start` bytes before the anchor
-            if start:
-                key = (key - value[data[:, start - 1]] * top) * BASE + value[data[:, start + length - 1]]
-            valid = np.flatnonzero((left >= side - start) & (right >= start))
-            if len(valid):
-                earlier = _earlier(C.mix64(key[valid]), doc[valid], data[valid, start : start + length], np.searchsorted(valid, bounds))
-                found[valid] |= (earlier.astype(np.uint32) << np.uint32(start)).astype(np.uint32)
         grams = gram_hashes_rows(data[:, side : side + gram])
+        found[own] = _distinct_masks(data[own], doc[own], grams[own], length, gram, paired)
+        mask = np.where(doc > doc[leader], offsets_mask(left.astype(np.int64), right.astype(np.int64), side), found[leader])
         out = []
         for i, (shard, chunk) in enumerate(zip(table["shard"].to_pylist(), table["chunk"].to_pylist(), strict=True)):
             s = slice(bounds[i], bounds[i + 1])
             h = np.unique(grams[s])
-            body = len(h).to_bytes(4, "little") + h.astype("<u8").tobytes() + found[s].astype("<u4").tobytes()
+            body = len(h).to_bytes(4, "little") + h.astype("<u8").tobytes() + mask[s].astype("<u4").tobytes()
             out.append((shard, chunk, zstandard.ZstdCompressor(level=1).compress(body)))
         return _table(out)
 
     return run
 
 
+PAIRED = 12
+
+
+def offsets_mask(left: np.ndarray, right: np.ndarray, side: int) -> np.ndarray:
+    """Bits of the offsets s whose string takes side - s <= left bytes before the anchor and s <= right after it."""
+    low, high = side - left, np.minimum(right, side)
+    one = np.uint64(1)
+    bits = (one << (high + 1).astype(np.uint64)) - (one << low.astype(np.uint64))
+    return np.where(low <= high, bits, 0).astype(np.uint32)
+
+
+def _row_hashes(data: np.ndarray) -> np.ndarray:
+    value, key = _byte_values(), np.zeros(len(data), np.uint64)
+    for column in np.ascontiguousarray(data.T):
+        key = key * BASE + value[column]
+    return C.mix64(key)
+
+
+def _leaders(data: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each record the row of an equal one of the smallest document."""
+    key, row, family = _row_hashes(data), np.arange(len(data)), LogFamily()
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        if lo < hi:
+            family.add(key[lo:hi], doc[lo:hi], row[lo:hi])
+    leader, _ = family.scan(key)
+    if (data == data[leader]).all():
+        return leader
+    _, first, group = np.unique(np.ascontiguousarray(data).view(f"V{data.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((doc, group))  # two records share a hash: decide by the bytes
+    heads = order[np.concatenate(([True], np.diff(group[order]) > 0))]
+    return heads[group]
+
+
+def _distinct_masks(data: np.ndarray, doc: np.ndarray, grams: np.ndarray, length: int, gram: int, paired: int) -> np.ndarray:
+    side, span = length - gram, 2 * length - gram
+    found = np.zeros(len(data), np.uint32)
+    order = np.argsort(grams, kind="stable")
+    g = grams[order]
+    edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))) if len(g) else np.zeros(1, np.int64)
+    size = np.repeat(np.diff(edges), np.diff(edges))
+    place = np.arange(len(g)) - np.repeat(edges[:-1], np.diff(edges))
+    small = size <= paired
+    for lag in range(1, paired):
+        at = np.flatnonzero(small & (place + lag < size))
+        for i in range(0, len(at), 50_000):
+            a, b = order[at[i : i + 50_000]], order[at[i : i + 50_000] + lag]
+            same = data[a, :span] == data[b, :span]
+            before, after = ~same[:, :side][:, ::-1], ~same[:, side + gram :]
+            agree = same[:, side : side + gram].all(axis=1)
+            lead = np.where(before.any(axis=1), before.argmax(axis=1), side)
+            r = np.where(after.any(axis=1), after.argmax(axis=1), side)
+            lead = np.minimum(lead, np.minimum(data[a, span], data[b, span]))
+            r = np.minimum(r, np.minimum(data[a, span + 1], data[b, span + 1]))
+            mask = np.where(agree, offsets_mask(lead, r, side), 0).astype(np.uint32)
+            # of one anchor string a record can meet the other once only, so plain indexing loses nothing
+            found[a] |= np.where(doc[b] < doc[a], mask, 0).astype(np.uint32)
+            found[b] |= np.where(doc[a] < doc[b], mask, 0).astype(np.uint32)
+    many = order[~small]
+    if len(many):
+        rows, left, right = data[many], data[many, span].astype(np.int64), data[many, span + 1].astype(np.int64)
+        for start in range(side + 1):  # the string begins `side - start` bytes before the anchor
+            valid = np.flatnonzero((left >= side - start) & (right >= start))
+            if len(valid):
+                text = rows[valid, start : start + length]
+                earlier = _earlier(_row_hashes(text), doc[many][valid], text)
+                found[many[valid]] |= earlier.astype(np.uint32) << np.uint32(start)
+    return found
+
+
 def gram_hashes_rows(rows: np.ndarray) -> np.ndarray:
     """gram_hashes of each row."""
     up, _ = _powers(1 << 20)
@@ -320,19 +388,13 @@ def gram_hashes_rows(rows: np.ndarray) -> np.ndarray:
     return C.mix64(total)
 
 
-def _earlier(key: np.ndarray, doc: np.ndarray, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each record: does its string stand in a smaller document? Run by run into the family, then one scan."""
-    family, row = LogFamily(), np.arange(len(key))
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        if lo < hi:
-            family.add(key[lo:hi], doc[lo:hi], row[lo:hi])
-    least, _ = family.scan(key)
-    other = np.flatnonzero(least != row)
-    same = np.ones(len(key), bool)
-    for i in range(0, len(other), 100_000):
-        s = other[i : i + 100_000]
-        same[s] = (text[s] == text[least[s]]).all(axis=1)
-    if same.all():
+def _earlier(key: np.ndarray, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each string (by its hash): does it stand in a smaller document?"""
+    order = np.lexsort((doc, key))
+    head = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    least = np.empty(len(key), np.int64)
+    least[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+    if (text == text[least]).all():
         return doc[least] < doc
     _, group = np.unique(np.ascontiguousarray(text).view(f"V{text.shape[1]}").ravel(), return_inverse=True)
     low = np.full(group.max() + 1, NO_ID)  # two strings share a hash: decide by the bytes
@@ -410,6 +472,7 @@ def remove_repeats(
     gram: int = GRAM,
     chunk_bytes: int = CHUNK_BYTES,
     shard_anchors: int = SHARD_ANCHORS,
+    paired: int = PAIRED,
     with_spans: bool = True,
 ) -> DataFrame:
     """Per document row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, spans (byte positions, end exclusive)."""
@@ -427,7 +490,7 @@ def remove_repeats(
     sent = by_chunk.applyInArrow(_first_run(length, gram, shards), SENT)
     flags = sent.groupBy("shard").applyInArrow(_first_scan, SENT)
     records = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(_second_run(length, gram, shards, fine), SENT)
-    answers = records.groupBy("shard").applyInArrow(_second_scan(length, gram), SENT)
+    answers = records.groupBy("shard").applyInArrow(_second_scan(length, gram, paired), SENT)
     kind = [T.LongType()] * 4 + [T.StringType(), T.ArrayType(T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField(n, t) for n, t in list(zip(NAMES, kind, strict=True))[: 6 if with_spans else 5]])
     out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_third(length, gram, fine, with_spans), schema)

@@ -54,11 +54,11 @@ def corpus(rng):
     return [*out, out[0], (ids[1], passage * 2), (None, passage), (None, passage), (None, None), (999, None), (998, "")]
 
 
-@pytest.mark.parametrize("seed,chunk,anchors", [(1, 1 << 20, 10**6), (2, 500, 100), (3, 2000, 40)])
-def test_against_brute_force(spark, seed, chunk, anchors):
+@pytest.mark.parametrize("seed,chunk,anchors,paired", [(1, 1 << 20, 10**6, 12), (2, 500, 100, 12), (3, 2000, 40, 2), (4, 300, 40, 3)])
+def test_against_brute_force(spark, seed, chunk, anchors, paired):
     rows = corpus(random.Random(seed))
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, chunk int")
-    got = S.remove_repeats(df, chunk_bytes=chunk, shard_anchors=anchors).collect()
+    got = S.remove_repeats(df, chunk_bytes=chunk, shard_anchors=anchors, paired=paired).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows, 50)
     assert all(sum(b - a for a, b in r.spans) == r.n_removed for r in got)
 
@@ -95,4 +95,4 @@ def test_family_merges_geometrically():
 def test_equal_hashes_are_told_apart():
     text = np.array([[1, 2], [1, 2], [3, 4]], np.uint8)
     same = np.zeros(3, np.uint64)
-    assert S._earlier(same, np.array([1, 2, 3]), text, np.array([0, 3])).tolist() == [False, True, False]
+    assert S._earlier(same, np.array([1, 2, 3]), text).tolist() == [False, True, False]
