@@ -4,10 +4,10 @@ Texts become sets of hashed word shingles; equal sets are one node. Similar node
 holds the union of its members' tokens, a query's overlap with that union bounds its overlap with every member, and
 only groups that can qualify are opened.
 
-* Order. Tokens are ordered rarest first: those seen often (counted within blocks of every task, then summed) come
-  last, the others by hash. The count only orders, so an estimate costs no result.
-* Candidates. Two sets with |A and B| >= t |A or B| share a token among the first n - ceil(t n) + 1 of each. Nodes that
-  share such a token with nobody are done.
+* Order. Tokens of the lower `reach` of the hash range come first, those of a single set before the rest, these by the
+  number of sets that hold them, all counted exactly; tokens beyond follow by hash.
+* Candidates. Two sets with |A and B| >= t |A or B| share a token among the first n - ceil(t n) + 1 of each. A node whose
+  first tokens are all its own is done; so are nodes that share none of them.
 * Groups. A node joins the smallest node it shares a prefix token with; a group is dealt out into blocks of about
   `block` members. A block is a row of the matrix. Nodes visit the blocks of other groups that hold one of their prefix tokens.
 * Large groups (several blocks) are not compared all with all: each block first links its own members; then the best
@@ -16,7 +16,7 @@ only groups that can qualify are opened.
 * Links of a task are reduced to a spanning forest; components follow by alternating stars.
 
 Scale: texts are not shuffled (the few candidates' are read again through a broadcast of their ids if it is small, by a
-shuffle join beyond `broadcast_rows`); shuffles carry about a tenth of the tokens. Copies of one text are one node.
+shuffle join beyond `broadcast_rows`); shuffles carry the tokens of the lower `reach` of the range. Copies of one text are one node.
 Work of a group is block by block; in the worst case (a large group in which hardly two members link) the last step
 compares its members pairwise, block by block.
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,10 +40,8 @@ from .components import components
 WIDTH, NUM, DEN = 3, 90, 100
 NEAR_WIDTH, NEAR_NUM = 5, 80
 BLOCK = 128
-COUNT_BLOCK = 2_000_000
-REPEATED = 3
-HEAVY_TOKENS = 200_000
-HEAVY_LEAST = 64
+#: times 1 - t: the share of the hash range in which tokens are counted
+REACH, NEAR_REACH = 1.5, 1.2
 BROADCAST_ROWS = 1_000_000
 
 
@@ -59,90 +57,48 @@ def signature(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def heavy_tokens(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """Tokens that recur within counted blocks, rarest first; at most HEAVY_TOKENS."""
-
-    def count(batches):
-        hasher, sets, held = C.WordHasher(), [], 0
-
-        def flush():
-            found, n = np.unique(np.concatenate(sets), return_counts=True)
-            often = n >= REPEATED
-            found, n = found[often].view(np.int64), n[often]
-            for i in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 50_000]), pa.array(n[i : i + 50_000])], names=["tok", "n"])
-
-        for b in batches:
-            for body in C.texts_bytes(b.column(0)):
-                s = token_set(body, hasher, width)
-                sets.append(s)
-                held += len(s)
-                if held >= COUNT_BLOCK:
-                    yield from flush()
-                    sets, held = [], 0
-        if sets:
-            yield from flush()
-
-    counted = docs.select(docs[text].cast("string")).mapInArrow(count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
-    counted = C.stored(counted.filter(F.col("n") >= HEAVY_LEAST), "heavy")
-    level = F.least(F.floor(F.log2("n") * 8), F.lit(500)).cast("int")
-    sizes = {r.level: r["count"] for r in counted.groupBy(level.alias("level")).count().collect()}  # at most 501 levels
-    total, least = 0, 501
-    for k in sorted(sizes, reverse=True):
-        if total + sizes[k] > HEAVY_TOKENS:
-            break
-        total, least = total + sizes[k], k
-    rows = counted.filter(level >= least).toArrow()
-    tok, n = rows["tok"].to_numpy(), rows["n"].to_numpy()
-    return tok[np.lexsort((tok, n))].view(np.uint64)
-
-
-class TokenOrder:
-    """The global token order: hashes ascending, then the heavy tokens by count."""
-
-    def __init__(self, heavy: np.ndarray):
-        self.at = np.argsort(heavy, kind="stable")
-        self.sorted = heavy[self.at]
-
-    def prefix(self, tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-        n = len(tokens)
-        if not n:
-            return tokens
-        size = n - -(-num * n // den) + 1
-        if len(self.sorted):
-            where = np.minimum(np.searchsorted(self.sorted, tokens), len(self.sorted) - 1)
-            heavy = self.sorted[where] == tokens
-            light = tokens[~heavy]
-            if len(light) < size:
-                rank = self.at[where[heavy]]
-                light = np.concatenate((light, tokens[heavy][np.argsort(rank)]))
-            return light[:size]
-        return tokens[:size]
-
-
-def set_rows(docs: DataFrame, text: str, keep: list[str], heavy: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """keep, then n (set size), node (set hash), prefix (tokens)."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+def set_rows(docs: DataFrame, text: str, keep: list[str], width: int, num: int, den: int, reach: float) -> DataFrame:
+    """keep, then n (set size), node (set hash), p (prefix size), r (tokens in reach), tokens (the first max(p, r) by hash)."""
+    limit = np.uint64(min(0.99, reach * (den - num) / den) * 2.0**64)
 
     def make():
-        hasher, order = C.WordHasher(), TokenOrder(shared.value)
+        hasher = C.WordHasher()
 
         def work(arr: pa.Array) -> list[pa.Array]:
-            n, node, prefix = [], [], []
+            n, node, p, r, first = [], [], [], [], []
             for body in C.texts_bytes(arr):
                 tokens = token_set(body, hasher, width)
-                n.append(len(tokens))
+                size = len(tokens)
+                n.append(size)
                 node.append(signature(tokens))
-                prefix.append(order.prefix(tokens, num, den).view(np.int64))
-            return [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+                p.append(size - -(-num * size // den) + 1 if size else 0)
+                r.append(int(np.searchsorted(tokens, limit)))
+                first.append(tokens[: max(p[-1], r[-1])].view(np.int64))
+            return [*(pa.array(x, pa.int64()) for x in (n, node, p, r)), pa.array(first, pa.list_(pa.int64()))]
 
         return work
 
-    long = T.LongType()
-    fields = [T.StructField("n", long), T.StructField("node", long), T.StructField("prefix", T.ArrayType(long))]
+    fields = [T.StructField(c, T.LongType()) for c in ("n", "node", "p", "r")] + [T.StructField("tokens", T.ArrayType(T.LongType()))]
     return C.map_texts(docs, text, keep, fields, make)
 
 
+def shared_prefixes(nodes: DataFrame) -> DataFrame:
+    """nodes (node, p, r, tokens) -> node, tok, lead: prefix tokens in the exact order that other nodes' prefixes hold too.
+
+    A node with fewer tokens in reach than its prefix takes has them all in it, and the sent ones beyond. Of another node's
+    prefix, its own tokens in reach fill the first places and those that the fewest sets hold the others.
+    """
+    posting = nodes.select("node", "p", "r", F.explode("tokens").alias("tok"))
+    held = posting.groupBy("tok").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("sets"))
+    common = posting.join(held.filter("lo < hi").select("tok", "sets"), "tok")
+    by_node = Window.partitionBy("node")
+    ranked = common.withColumn("gl_rank", F.row_number().over(by_node.orderBy("sets", "tok"))).withColumn("gl_all", F.count("*").over(by_node))
+    kept = ranked.filter("r < p or gl_rank <= p - (r - gl_all)").select("node", "tok")
+    kept = C.stored(kept, "kept")
+    lead = kept.groupBy("tok").agg(F.min("node").alias("lead"), F.max("node").alias("hi")).filter("lead < hi").select("tok", "lead")
+    return kept.join(lead, "tok")
+
+
 class Block:
     """One row of the token-group matrix: the members' tokens, their union, and what is linked."""
 
@@ -260,19 +216,16 @@ def link_documents(
     num: int = NUM,
     den: int = DEN,
     block: int = BLOCK,
+    reach: float = REACH,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Per document row: doc_id, text_hash, n_shingles, component_id. Two sets link if den * |and| >= num * |or|."""
     C.bounded_batches(docs.sparkSession)
     source = docs.select(docs[doc_id].alias("gl_id"), docs[text].cast("string").alias("gl_t"))
     source = source.withColumn("gl_h", F.xxhash64("gl_t"))
-    heavy = heavy_tokens(source, "gl_t", width)
-    rows = C.stored(set_rows(source, "gl_t", ["gl_id", "gl_h"], heavy, width, num, den), "sets")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("gl_id").alias("doc"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
-
-    posting = nodes.select("node", F.explode("prefix").alias("tok"))
-    lead = posting.groupBy("tok").agg(F.min("node").alias("lead"), F.max("node").alias("top")).filter("lead < top")
-    shared = C.stored(posting.join(lead.select("tok", "lead"), "tok"), "shared")
+    rows = C.stored(set_rows(source, "gl_t", ["gl_id", "gl_h"], width, num, den, reach), "sets")
+    nodes = rows.filter("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("p", "r", "tokens")])
+    shared = C.stored(shared_prefixes(nodes), "shared")
 
     group = shared.groupBy("node").agg(F.min("lead").alias("gid"))
     size = group.groupBy("gid").agg(F.count("*").alias("size"))
@@ -296,7 +249,8 @@ def link_documents(
         edges = _large_groups(several, first, edges, sets, num, den)
     found = components(edges)
 
-    classes = nodes.select("node", "doc", "copies").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rows.filter("n > 0").groupBy("node").agg(F.min("gl_id").alias("doc"), F.count("*").alias("copies"))
+    classes = sizes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("doc").alias("component"), F.sum("copies").alias("members")).filter("members > 1")
     named = C.stored(classes.join(least, "root").select("node", "component"), "named")
     out = rows.select("gl_id", "gl_h", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
@@ -347,10 +301,10 @@ def _large_groups(several: DataFrame, first: DataFrame, edges: DataFrame, sets:
 
 def drop_near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, num: int = NEAR_NUM, den: int = DEN,
-    broadcast_rows: int = BROADCAST_ROWS,
+    reach: float = NEAR_REACH, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """All columns of docs; of each component the document with the smallest id stays, with all its rows."""
-    found = link_documents(docs, doc_id=doc_id, text=text, width=width, num=num, den=den, broadcast_rows=broadcast_rows)
+    found = link_documents(docs, doc_id=doc_id, text=text, width=width, num=num, den=den, reach=reach, broadcast_rows=broadcast_rows)
     gone = found.filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("gl_gone"), F.col("text_hash").alias("gl_hash"))
     gone = C.stored(gone.distinct(), "gone")
     side = F.broadcast(gone) if _small(gone, broadcast_rows) else gone

@@ -1,7 +1,6 @@
 import random
 import re
 
-import numpy as np
 import pytest
 
 from gleaner.llm import jaccard_join as J
@@ -49,12 +48,11 @@ def corpus(rng, bases=12, copies=18):
     return [*out, out[3], (None, out[5][1]), (None, "no id and no like")]
 
 
-@pytest.mark.parametrize("width,num,block,rows,heavy", [(3, 90, 128, 10**6, 64), (5, 80, 4, 10**6, 3), (3, 90, 3, 0, 3)])
-def test_against_brute_force(spark, monkeypatch, width, num, block, rows, heavy):
-    monkeypatch.setattr(J, "HEAVY_LEAST", heavy)
+@pytest.mark.parametrize("width,num,block,rows,reach", [(3, 90, 128, 10**6, 1.5), (5, 80, 4, 10**6, 1.2), (3, 90, 3, 0, 0.5), (1, 50, 5, 10, 1.9)])
+def test_against_brute_force(spark, width, num, block, rows, reach):
     data = corpus(random.Random(width * block))
     df = spark.createDataFrame([(*d, 1) for d in data], "doc_id long, text string, node int").repartition(3)
-    got = J.link_documents(df, width=width, num=num, block=block, broadcast_rows=rows).collect()
+    got = J.link_documents(df, width=width, num=num, block=block, reach=reach, broadcast_rows=rows).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(data, width, num, 100)
 
 
@@ -66,11 +64,6 @@ def test_drop_and_empty(spark):
     assert J.link_documents(df.limit(0)).count() == 0
 
 
-def test_prefix_order():
-    order = J.TokenOrder(np.array([5, 2], np.uint64))
-    assert order.prefix(np.array([1, 2, 5, 9], np.uint64), 1, 100).tolist() == [1, 9, 5, 2]
-
-
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (950, 950)], "a long, b long")
     got = {r.node: r.root for r in components(df).collect()}
