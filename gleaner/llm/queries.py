@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, langid, pii, quality, suffix_dedup, toxicity
+from . import bpe, decontaminate, jaccard_join, langid, pii, quality, suffix_dedup, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_urlfilter": urlfilter.op2_urlfilter,
     "op3_bpe": bpe.op3_bpe,
+    "op4_warc": warc.op4_warc,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_langid": langid.op7_langid,
@@ -15,4 +17,6 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_urlfilter": urlfilter.OP2_SQL,
+}
