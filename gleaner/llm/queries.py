@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, langid, pii, quality, suffix_dedup, toxicity, urlfilter, warc
+from . import bpe, decontaminate, jaccard_join, langid, oracles, pii, quality, suffix_dedup, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": oracles.OP1,
     "op2_urlfilter": urlfilter.OP2_SQL,
+    "op5_jaccard_join": oracles.OP5,
+    "op9_suffix_dedup": oracles.OP9,
 }
