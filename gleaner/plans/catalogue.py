@@ -46,24 +46,19 @@ def doc_identity(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "id", "source_path")
 
 
-def _perturbed() -> tuple:
-    """The text with line noise and redactions where doc_id says so: column and SQL."""
+def _perturbed():
+    """The text with line noise and redactions where doc_id says so."""
     c = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("█████ [gelakt] 5.1.2e 5.1.10 "), "text")).otherwise(F.col("text"))
-    c = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace(c, " ", "  \r\n\n\n")).otherwise(c)
-    sql = (
-        "CASE WHEN doc_id % 5 = 0 THEN replace(p, ' ', '  ' || chr(13) || chr(10) || chr(10) || chr(10)) ELSE p END FROM "
-        "(SELECT *, CASE WHEN doc_id % 7 = 0 THEN '█████ [gelakt] 5.1.2e 5.1.10 ' || text ELSE text END AS p FROM docs)"
-    )
-    return c, sql
+    return F.when(F.col("doc_id") % 5 == 0, F.regexp_replace(c, " ", "  \r\n\n\n")).otherwise(c)
 
 
 def normalize_perturbed(spark, sf_dir):
-    clean = X.normalize_text(_perturbed()[0])
+    clean = X.normalize_text(_perturbed())
     return _docs(spark, sf_dir).select("doc_id", F.length(clean).cast("long").alias("n"), F.sha2(clean, 256).alias("digest"))
 
 
 def redaction_ratio_perturbed(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.round(X.redaction_ratio(_perturbed()[0]), 4).alias("ratio"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(X.redaction_ratio(_perturbed()), 4).alias("ratio"))
 
 
 def _gated(spark, sf_dir) -> DataFrame:
@@ -431,7 +426,10 @@ c AS (SELECT CASE WHEN (SELECT max(n) FROM s) <= {TARGET} THEN (SELECT min(final
 TURNS = "t AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || ':' || lpad(CAST(turn AS VARCHAR), 6, '0') AS id FROM conversations)"
 THREADS = f"{TURNS}, p AS (SELECT id, first_value(id) OVER w AS root, row_number() OVER w - 1 AS depth, count(*) OVER (PARTITION BY conv_id) AS size, last_value(id) OVER (PARTITION BY conv_id ORDER BY turn, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tip FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, id))"
 CENTRES = "m AS (SELECT label, list(m ORDER BY pos) AS centre FROM (SELECT label, pos, round(avg(CAST(embedding[pos] AS DOUBLE)), 9) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label), s AS (SELECT vec_id, e.label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centre), 6) AS cos FROM embeddings e JOIN m ON m.label = e.label)"
-PERTURBED = f"WITH {DOCS}, x AS (SELECT doc_id, {_perturbed()[1].replace(' FROM', ' AS t FROM', 1)})"
+PERTURBED = (
+    f"WITH {DOCS}, x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN replace(p, ' ', '  ' || chr(13) || chr(10) || chr(10) || chr(10)) ELSE p END AS t FROM "
+    "(SELECT *, CASE WHEN doc_id % 7 = 0 THEN '█████ [gelakt] 5.1.2e 5.1.10 ' || text ELSE text END AS p FROM docs))"
+)
 PERMUTATIONS = ", ".join(f"({i}, {duplicates.permutation(i)[0]}, {duplicates.permutation(i)[1]})" for i in range(duplicates.BANDS * duplicates.ROWS))
 MINHASH = f"""perm(i, a, b) AS (VALUES {PERMUTATIONS}), one AS (SELECT min(id) AS id, first(text) AS text FROM docs WHERE text <> '' GROUP BY sha256(text)),
 tk AS (SELECT id, {TOKENS.format('text')} AS t FROM one),
