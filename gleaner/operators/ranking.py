@@ -65,9 +65,9 @@ def _equals(word: str):
     return lambda t: t == word
 
 
-def hybrid(cosines: DataFrame, scores: DataFrame, alpha: float = 0.0) -> DataFrame:
-    """id, final = (1 - alpha) cosine + alpha bm25, rounded to 6 decimals; the default leaves the cosine."""
-    mixed = F.round((1 - alpha) * F.col("final") + alpha * F.col("bm25"), 6)
+def hybrid(cosines: DataFrame, scores: DataFrame, alpha: float = 0.0, digits: int = 6) -> DataFrame:
+    """id, final = (1 - alpha) cosine + alpha bm25, rounded to `digits` decimals; the default leaves the cosine."""
+    mixed = F.round((1 - alpha) * F.col("final") + alpha * F.col("bm25"), digits)
     return cosines.join(scores, "id").select("id", mixed.alias("final"))
 
 

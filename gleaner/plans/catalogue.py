@@ -169,8 +169,8 @@ BM25 = (
 
 def hybrid_score(spark, sf_dir):
     docs = _docs(spark, sf_dir).filter("text <> ''")
-    mixed = ranking.hybrid(_retrieved(spark, sf_dir), ranking.bm25(docs, QUERY), 0.3)
-    return mixed.select("id", F.round("final", 4).alias("final"))
+    # both parts have 6 decimals, so the mix has 7: no rounding tie is left to the engine
+    return ranking.hybrid(_retrieved(spark, sf_dir), ranking.bm25(docs, QUERY), 0.3, digits=7)
 
 
 def term_overlap_why(spark, sf_dir):
@@ -456,7 +456,7 @@ ORACLE_SQL = {
     "retrieve_best_passage": f"WITH {DOCS}, {RETRIEVED} SELECT id, final, md5(best_passage) AS passage FROM best",
     "first_pass_ranking": f"WITH {DOCS}, {RETRIEVED} SELECT row_number() OVER (ORDER BY final DESC, id) AS rank, id, final FROM best ORDER BY final DESC, id LIMIT 200",
     "bm25_rerank": f"WITH {DOCS}, {BM25} SELECT id, bm25 FROM bm",
-    "hybrid_score": f"WITH {DOCS}, {RETRIEVED}, {BM25} SELECT id, round(round(0.7 * final + 0.3 * bm25, 6), 4) AS final FROM best JOIN bm USING (id)",
+    "hybrid_score": f"WITH {DOCS}, {RETRIEVED}, {BM25} SELECT id, round(0.7 * final + 0.3 * bm25, 7) AS final FROM best JOIN bm USING (id)",
     "term_overlap_why": f"WITH {DOCS} SELECT doc_id, array_to_string(list_filter({TOKENS.format(repr(QUERY))}, lambda w: list_contains({TOKENS.format('text')}, w)), ',') AS terms FROM docs",
     "exact_duplicates": f"WITH {DOCS}, {EXACT} SELECT source, target FROM exact",
     "duplicate_collapse": f"WITH {DOCS}, {RETRIEVED}, r AS (SELECT d.id, d.source_path, sha256(d.text) AS g, b.final FROM docs d JOIN best b USING (id)), k AS (SELECT *, first_value(id) OVER w AS keep, first_value(final) OVER w AS top FROM r WINDOW w AS (PARTITION BY g ORDER BY final DESC, source_path)) SELECT id, CASE WHEN id = keep THEN 'undecided' ELSE 'out_of_scope' END AS decision, CASE WHEN id = keep THEN '' ELSE printf('duplicaat van %s (final %.4f)', keep, top) END AS decision_reason FROM k",
