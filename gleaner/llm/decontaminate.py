@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -215,13 +216,14 @@ def find_contamination(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Per document row: its id, n_words, hit_spans (word positions, end exclusive) and items (ids as strings)."""
-    blocks = list(item_blocks(benchmark, item_id, item_text, window, block_words)) or [None]
-    if len(blocks) == 1:
-        return _pass(docs, text, [doc_id], blocks[0], RESULT)
+    blocks = item_blocks(benchmark, item_id, item_text, window, block_words)  # one at a time on the driver
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return _pass(docs, text, [doc_id], first, RESULT)
     keyed = docs.select(
         docs[doc_id], docs[text], F.xxhash64(docs[doc_id], docs[text]).alias("gl_k"), F.md5(docs[text]).alias("gl_m")
     )
-    parts = [_pass(keyed, text, [doc_id, "gl_k", "gl_m"], b, RESULT) for b in blocks]
+    parts = [_pass(keyed, text, [doc_id, "gl_k", "gl_m"], b, RESULT) for b in chain((first, second), blocks)]
     # a repeated row (same id, same text) meets its like here: count rows of one block to give each back
     all_parts = parts[0].withColumn("gl_b", F.lit(0))
     for i, p in enumerate(parts[1:], 1):
@@ -274,44 +276,70 @@ def decontaminate(
 ) -> DataFrame:
     """All columns of docs. action "drop": contaminated documents go; "excise": their hit spans are cut out of the text.
 
-    Documents below the coverage limit stay as they are. One pass over the documents for each benchmark block; a
-    block's hits are merged with the next one's by document row, in the row itself.
+    Documents below the coverage limit stay as they are. One pass over the documents; with several benchmark blocks one
+    for each, stored in between, so that a worker never holds more than one automaton.
     """
     if action not in ("drop", "excise"):
         raise ValueError(action)
-    spark, names = docs.sparkSession, docs.columns
-    # all blocks travel as broadcasts of bounded size and are opened one after the other for each batch
-    blocks = [spark.sparkContext.broadcast(a) for a in item_blocks(benchmark, item_id, item_text, window, block_words)]
-    fields = [T.StructField("__gl_drop", T.BooleanType()), T.StructField("__gl_clean", T.StringType())]
+    names, rows, spans = docs.columns, docs, []
+    for i, automaton in enumerate(item_blocks(benchmark, item_id, item_text, window, block_words)):
+        rows = C.stored(rows, "block") if i else rows
+        spans.append(f"__gl_spans{i}")
+        rows = _span_pass(rows, text, [*names, *spans[:-1]], automaton, spans[-1])
+    if not spans:
+        return docs
+    if len(spans) > 1:
+        rows = C.stored(rows, "block")
+    rows = rows.select(*names, F.concat(*spans).alias("__gl_spans"))
+    if action == "drop":
+        judged = C.map_texts(rows, text, [*names, "__gl_spans"], [T.StructField("__gl_n", T.LongType())], _word_count)
+        hit = F.size(F.array_distinct(F.flatten(F.transform("__gl_spans", lambda x: F.sequence(x[0], x[1] - 1)))))
+        hit = F.when(F.size("__gl_spans") > 0, hit).otherwise(0)
+        return judged.filter(~((hit > 0) & (coverage * hit >= F.col("__gl_n")))).select(*names)
+
+    return _excise(rows, text, names, coverage)
+
+
+def _word_count():
+    return lambda arr: [pa.array([len(words_of(b)) for b in C.texts_bytes(arr)], pa.int64())]
+
+
+def _span_pass(docs: DataFrame, text: str, keep: list[str], automaton: ItemAutomaton, name: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    kind = T.ArrayType(T.ArrayType(T.LongType()))
 
     def make():
+        auto = shared.value
+
         def work(arr: pa.Array) -> list[pa.Array]:
-            bodies = list(C.texts_bytes(arr))
-            words = [words_of(b) for b in bodies]
-            hit: list[list[tuple[int, int]]] = [[] for _ in bodies]
-            for block in blocks:
-                auto = block.value
-                for i, w in enumerate(words):
-                    hit[i] += auto.hits(w)[0]
-            drop, clean = [], []
-            for body, w, spans in zip(bodies, words, hit, strict=True):
-                marked = np.zeros(len(w), bool)
+            found = [[list(x) for x in auto.hits(words_of(b))[0]] for b in C.texts_bytes(arr)]
+            return [pa.array(found, pa.list_(pa.list_(pa.int64())))]
+
+        return work
+
+    return C.map_texts(docs, text, keep, [T.StructField(name, kind)], make)
+
+
+def _excise(rows: DataFrame, text: str, names: list[str], coverage: int) -> DataFrame:
+    """The texts of contaminated rows without their hit words."""
+    kinds = rows.schema
+    body, at = names.index(text), len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for raw, spans in zip(C.texts_bytes(b.column(body)), b.column(at).to_pylist(), strict=True):
+                marked = np.zeros(len(words_of(raw)), bool)
                 for lo, hi in spans:
                     marked[lo:hi] = True
                 n_hit = int(marked.sum())
-                bad = n_hit > 0 and coverage * n_hit >= len(w)
-                drop.append(bad)
-                clean.append(_excised(body, marked) if bad and action == "excise" else None)
-            return [pa.array(drop, pa.bool_()), pa.array(clean, pa.string())]
+                out.append(_excised(raw, marked) if n_hit and coverage * n_hit >= len(marked) else None)
+            new = [x if x is not None else old for x, old in zip(out, b.column(body).to_pylist(), strict=True)]
+            columns = [pa.array(new, pa.string()) if i == body else b.column(i) for i in range(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        return work
-
-    judged = C.map_texts(docs, text, names, fields, make)
-    if action == "drop":
-        return judged.filter(~F.col("__gl_drop")).select(*names)
-    return judged.select(
-        *[F.coalesce("__gl_clean", F.col(c)).alias(c) if c == text else F.col(c) for c in names]
-    )
+    schema = T.StructType([T.StructField(text, T.StringType()) if n == text else kinds[i] for i, n in enumerate(names)])
+    return rows.mapInArrow(run, schema)
 
 
 def _excised(body: bytes, marked: np.ndarray) -> str:

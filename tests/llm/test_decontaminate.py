@@ -75,12 +75,13 @@ def test_contract_columns(tables, block_words):
     assert {r.items_sha256 for r in got if r.doc_id == 4} == {D.items_digest([])}
 
 
-def test_drop_excise_and_empty(tables, spark):
+@pytest.mark.parametrize("block_words", [1000, 5])
+def test_drop_excise_and_empty(tables, spark, block_words):
     docs, bench = tables
-    kept = D.decontaminate(docs, bench)
+    kept = D.decontaminate(docs, bench, block_words=block_words)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]
-    cut = {r.doc_id: r.text for r in D.decontaminate(docs, bench, action="excise").collect()}
+    cut = {r.doc_id: r.text for r in D.decontaminate(docs, bench, action="excise", block_words=block_words).collect()}
     assert cut[1] == "" and cut[3].startswith("w0") and cut[4] is None and cut[None].startswith("! ") is False
     assert D.decontaminate(docs.limit(0), bench).count() == 0
-    assert D.find_contamination(docs, bench.limit(0)).count() == 7
+    assert D.find_contamination(docs, bench.limit(0)).count() == 7 and D.decontaminate(docs, bench.limit(0)).count() == 7
