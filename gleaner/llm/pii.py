@@ -113,7 +113,7 @@ DIGIT_NAMES = (
 DIGIT_OF = {w: str(i) for names in DIGIT_NAMES for i, w in enumerate(names.split())} | {"oh": "0", "nought": "0"}
 AT_WORDS = r"(?:at|arroba|arobase|klammeraffe|ät)"
 DOT_WORDS = r"(?:dot|punkt|point|punto|dt)"
-OPEN, CLOSE = r"[(\[{<]", r"[)\]}>]"
+OPEN, CLOSE = r"[(\[{<_*|]", r"[)\]}>_*|]"
 
 
 @cache
@@ -165,6 +165,9 @@ WORD_SIGN = re.compile(
 )
 DOT_IN = re.compile(rf" {DOT_WORDS} | \. ", re.I)
 NUMBER_DOT = re.compile(rf"(?<=[0-9])\s?{DOT_WORDS}\s?(?=[0-9])", re.I)
+#: Letters for digits inside a long number of mostly digits.
+LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[ -]?[0-9OoIl]){12,18}(?![A-Za-z0-9])")
+LETTER_DIGIT_HINT = re.compile(r"[0-9][ -]?[OoIl](?![a-z]{2})")
 PLUS = re.compile(r"(?<!\w)(?:\(plus\)|\[plus\]|plus|más)\s?(?=[0-9])", re.I)
 
 
@@ -224,6 +227,11 @@ def signs(x: Aligned) -> Aligned:
             else:
                 edits += [(*d.span(), ".") for d in DOT_IN.finditer(x.text, *m.span(part))]
     x = x.edited(edits)
+    edits = []
+    for m in LETTER_DIGITS.finditer(x.text):
+        if sum(map(str.isdigit, m[0])) >= 8:
+            edits += [(i, i + 1, "0" if x.text[i] in "Oo" else "1") for i in range(*m.span()) if x.text[i] in "OoIl"]
+    x = x.edited(edits)
     x = x.edited([(*m.span(), ".") for m in NUMBER_DOT.finditer(x.text)])
     return x.edited([(*m.span(), "+") for m in PLUS.finditer(x.text)])
 
@@ -237,10 +245,12 @@ SIGN_HINT = re.compile(
 
 
 def has_work(text: str) -> bool:
-    """Whether any transducer could change the text; False is certain."""
+    """Whether any transducer could change what is found; False is certain."""
     if not text.isascii() and not glyph_set().isdisjoint(text):
         return True
-    return bool(SECOND_NAME.search(text.lower()) and SPELLED_HINT.search(text) or SIGN_HINT.search(text))
+    if SECOND_NAME.search(text.lower()) and SPELLED_HINT.search(text):
+        return True
+    return bool(SIGN_HINT.search(text) or LETTER_DIGIT_HINT.search(text))
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:

@@ -57,6 +57,8 @@ def test_disguises():
     assert found("ip one nine two dot one six eight dot one two dot one one x") == [("ip", "one nine two dot one six eight dot one two dot one one")]
     assert found("card four one one one one one one one one one one one one one one one.") == [("card", "four one one one one one one one one one one one one one one one")]
     assert found("call plus four nine three zero one two three four five six") == [("phone", "plus four nine three zero one two three four five six")]
+    assert found("card 41I1 ll11 1111 1111 ok") == [("card", "41I1 ll11 1111 1111")] and found("jane _at_ site _dot_ org") == [("email", "jane _at_ site _dot_ org")]
+    assert found("at 192[.]168[.]0[.]7 now") == [("ip", "192[.]168[.]0[.]7")]
     assert found("ring +4\u200b9\u00a030 123456") == [("phone", "+4\u200b9\u00a030 123456")]
 
 
