@@ -21,8 +21,15 @@ QUERY = "the of and thing report"
 TARGET, TOP_N, THRESHOLD, BIAS = 100, 50, 0.5, 0.02
 
 
+SMALL_SHARE = 4 << 20
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one too small to fill the cores by its files alone (a single row group) is dealt out evenly."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_SHARE * cores and name == "documents" else df
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,7 +466,7 @@ ORACLE_SQL = {
     "hybrid_score": f"WITH {DOCS}, {RETRIEVED}, {BM25} SELECT id, round(0.7 * final + 0.3 * bm25, 7) AS final FROM best JOIN bm USING (id)",
     "term_overlap_why": f"WITH {DOCS} SELECT doc_id, array_to_string(list_filter({TOKENS.format(repr(QUERY))}, lambda w: list_contains({TOKENS.format('text')}, w)), ',') AS terms FROM docs",
     "exact_duplicates": f"WITH {DOCS}, {EXACT} SELECT source, target FROM exact",
-    "duplicate_collapse": f"WITH {DOCS}, {RETRIEVED}, r AS (SELECT d.id, d.source_path, sha256(d.text) AS g, b.final FROM docs d JOIN best b USING (id)), k AS (SELECT *, first_value(id) OVER w AS keep, first_value(final) OVER w AS top FROM r WINDOW w AS (PARTITION BY g ORDER BY final DESC, source_path)) SELECT id, CASE WHEN id = keep THEN 'undecided' ELSE 'out_of_scope' END AS decision, CASE WHEN id = keep THEN '' ELSE printf('duplicaat van %s (final %.4f)', keep, top) END AS decision_reason FROM k",
+    "duplicate_collapse": f"WITH {DOCS}, {RETRIEVED}, r AS (SELECT d.id, d.source_path, sha256(d.text) AS g, b.final FROM docs d JOIN best b USING (id)), k AS (SELECT *, first_value(id) OVER w AS keep, first_value(final) OVER w AS top FROM r WINDOW w AS (PARTITION BY g ORDER BY final DESC, source_path)) SELECT id, CASE WHEN id = keep THEN 'undecided' ELSE 'out_of_scope' END AS decision, CASE WHEN id = keep THEN '' ELSE printf('duplicaat van %s (final %.4f)', keep, CAST(round(CAST(top AS DECIMAL(12, 6)), 4) AS DOUBLE)) END AS decision_reason FROM k",
     "minhash_candidates": f"WITH {DOCS}, {MINHASH} SELECT DISTINCT x.id AS a, y.id AS b FROM bk x JOIN bk y ON x.band = y.band AND x.k = y.k AND x.id < y.id",
     "relation_graph_edges": f"WITH {DOCS}, {EXACT}, {TURNS}, e AS (SELECT DISTINCT source, 'duplicate-of' AS kind, target FROM exact UNION ALL SELECT * FROM (SELECT id, 'thread-parent' AS kind, lag(id) OVER (PARTITION BY conv_id ORDER BY turn, id) AS target FROM t) WHERE target IS NOT NULL) SELECT source, kind, target, '' AS evidence, row_number() OVER (PARTITION BY source ORDER BY kind, target) AS seq FROM e",
     "select_top_n": f"WITH {DOCS}, {RETRIEVED}, c AS (SELECT min(final) AS cut FROM (SELECT final FROM best ORDER BY final DESC LIMIT {TOP_N})) {CUT}",
