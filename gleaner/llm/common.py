@@ -128,8 +128,15 @@ def shingle_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+SMALL_SHARE = 4 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one too small to fill the cores by its files alone (a single row group) is dealt out evenly."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < SMALL_SHARE * cores else df
 
 
 def crc_rest(col, mod: int):
