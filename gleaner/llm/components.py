@@ -27,12 +27,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a, b: long) -> node, root (smallest node of its component) of every node that has an edge to another."""
     now = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = C.stored(now, "edges"), None
+    now = C.stored(now, "edges")
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
+        # done when no root hangs on another node: every path has one edge, and one root for each node
+        over = now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
+        many = now.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+        if not over and not many:
             break
-        before = mark
         now = C.stored(_star(_star(now, True), False), "edges")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

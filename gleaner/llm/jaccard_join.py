@@ -9,7 +9,8 @@ only groups that can qualify are opened.
 * Candidates. Two sets with |A and B| >= t |A or B| share a token among the first n - ceil(t n) + 1 of each. A node whose
   first tokens are all its own is done; so are nodes that share none of them.
 * Groups. A node joins the smallest node it shares a prefix token with, among nodes of its size class: linked sets differ
-  by one class at most. A group is dealt out into blocks of about `block` members. A block is a row of the matrix. Nodes visit the blocks of other groups that hold one of their prefix tokens.
+  by one class at most. A group is dealt out into blocks of about `block` members. A block is a row of the matrix. Nodes visit, block by
+  block, the other groups that hold one of their prefix tokens.
 * Large groups (several blocks) are not compared all with all: each block first links its own members; then the best
   connected member of each block visits the other blocks; last, members still outside their group's main component
   visit them. Pairs of which both are in one component already need no comparison, so no link between components is lost.
@@ -148,7 +149,7 @@ class Block:
         return np.flatnonzero(self.den * common >= self.num * (self.sizes + len(tokens) - common))
 
     def own_links(self) -> tuple[list[tuple[int, int]], int]:
-        """A spanning forest of the members' links; and the member with most links."""
+        """The members' links as stars around each component's smallest node; and the member with most links."""
         parent = list(range(len(self.nodes)))
 
         def find(x: int) -> int:
@@ -157,14 +158,15 @@ class Block:
                 x = parent[x]
             return x
 
-        out, degree = [], []
+        degree = []
         for i, s in enumerate(self.sets):
             found = self.linked(s)
             degree.append(len(found))
             for j in found.tolist():
-                if j < i and (a := find(i)) != (b := find(j)):
-                    parent[a] = b
-                    out.append((self.nodes[i], self.nodes[j]))
+                a, b = find(i), find(j)
+                if a != b:
+                    parent[max(a, b, key=self.nodes.__getitem__)] = min(a, b, key=self.nodes.__getitem__)
+        out = [(self.nodes[i], self.nodes[find(i)]) for i in range(len(self.nodes)) if find(i) != i]
         return out, self.nodes[int(np.argmax(degree))]
 
     def visit_links(self, node: int, tokens: np.ndarray) -> list[tuple[int, int]]:
@@ -205,16 +207,13 @@ def open_blocks(plan: DataFrame, sets: DataFrame, num: int, den: int, members_to
         close()
         if out:
             yield emit()
+        C.release()
 
     rows = plan.join(sets, "node").select("gid", "blk", "visits", "node", "tokens")
     dealt = rows.repartition("gid", "blk").sortWithinPartitions("gid", "blk", "visits")
     return dealt.mapInArrow(run, "a long, b long, hub boolean")
 
 
-def _small(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def link_documents(
     docs: DataFrame,
     *,
@@ -237,17 +236,18 @@ def link_documents(
 
     group = shared.groupBy("node", "cls").agg(F.min("lead").alias("lead")).select("node", "cls", F.xxhash64("lead", "cls").alias("gid"))
     size = group.groupBy("gid").agg(F.count("*").alias("size"))
-    n_blk = F.ceil(F.col("size") / block).cast("int")
-    placed = group.join(size.select("gid", n_blk.alias("n_blk")), "gid")
+    large = size.filter(F.col("size") > block).select("gid", F.ceil(F.col("size") / block).cast("int").alias("n_blk"))
+    placed = group.join(C.counted_side(large, broadcast_rows), "gid", "left").withColumn("n_blk", F.coalesce("n_blk", F.lit(1)))
     placed = C.stored(placed.withColumn("blk", F.pmod(F.xxhash64("node"), "n_blk").cast("int")), "placed")
 
-    # tokens that stand in more than one group; a node visits blocks of its own and the neighbouring size classes
-    at = shared.select("node", "tok").join(placed.select("node", "cls", "gid", "blk"), "node")
+    # tokens that stand in more than one group; a node visits the groups of its own and the neighbouring size classes that
+    # hold one of its tokens, block by block. Groups, not blocks, meet by token: a group's members share many tokens
+    at = shared.select("node", "tok").join(placed.select("node", "cls", "gid", "n_blk"), "node")
     crossing = at.groupBy("tok").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo < hi").select("tok")
     at = C.stored(at.join(crossing, "tok"), "crossing")
-    units = at.select("tok", F.col("gid").alias("ug"), F.col("cls").alias("uc"), F.col("blk").alias("ub")).distinct()
-    near = at.join(units, "tok").filter("gid < ug and abs(cls - uc) <= 1")
-    visits = near.select("node", F.col("ug").alias("gid"), F.col("ub").alias("blk")).distinct()
+    held = at.select("tok", F.col("gid").alias("ug"), F.col("cls").alias("uc"), F.col("n_blk").alias("un")).distinct()
+    near = at.join(held, "tok").filter("gid < ug and abs(cls - uc) <= 1").select("node", "ug", "un").distinct()
+    visits = near.select("node", F.col("ug").alias("gid"), F.explode(F.expr("sequence(0, un - 1)")).alias("blk"))
     plan = placed.select("node", "gid", "blk", F.lit(False).alias("visits")).unionByName(visits.withColumn("visits", F.lit(True)))
 
     sets = _candidate_sets(source, rows, placed.select("node"), width, broadcast_rows)
@@ -255,7 +255,7 @@ def link_documents(
     edges = first.filter("not hub").select("a", "b")
     several = C.stored(placed.filter("n_blk > 1"), "several")
     if several.limit(1).count():
-        edges = _large_groups(several, first, edges, sets, num, den)
+        edges = _large_groups(several, first, edges, sets, num, den, broadcast_rows)
     found = components(edges)
 
     sizes = rows.filter("n > 0").groupBy("node").agg(F.min("gl_id").alias("doc"), F.count("*").alias("copies"))
@@ -273,9 +273,8 @@ def link_documents(
 
 def _candidate_sets(source: DataFrame, rows: DataFrame, wanted: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
     """node, tokens of the wanted nodes: their texts are read again, one row for each node where ids are unique."""
-    named = rows.join(wanted, "node").groupBy("node").agg(F.min(F.struct("gl_id", "gl_h")).alias("r"))
-    keys = C.stored(named.select("node", F.col("r.gl_id").alias("k_id"), F.col("r.gl_h").alias("k_h")), "wanted")
-    side = F.broadcast(keys) if _small(keys, broadcast_rows) else keys
+    named = rows.groupBy("node").agg(F.min(F.struct("gl_id", "gl_h")).alias("r")).join(wanted, "node")  # copies meet before the join
+    side = C.counted_side(named.select("node", F.col("r.gl_id").alias("k_id"), F.col("r.gl_h").alias("k_h")), broadcast_rows)
     texts = source.join(side, (F.col("gl_h") == F.col("k_h")) & F.col("gl_id").eqNullSafe(F.col("k_id"))).select("node", "gl_t")
 
     def make():
@@ -290,7 +289,7 @@ def _candidate_sets(source: DataFrame, rows: DataFrame, wanted: DataFrame, width
     return C.stored(made, "tokens")
 
 
-def _large_groups(several: DataFrame, first: DataFrame, edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _large_groups(several: DataFrame, first: DataFrame, edges: DataFrame, sets: DataFrame, num: int, den: int, broadcast_rows: int) -> DataFrame:
     """The links between blocks of one group that components still need."""
     members = several.select("node", "gid", "blk", F.lit(False).alias("visits"))
 
@@ -301,11 +300,13 @@ def _large_groups(several: DataFrame, first: DataFrame, edges: DataFrame, sets:
         return open_blocks(members.unionByName(every), sets, num, den, False).select("a", "b")
 
     hubs = several.join(first.filter("hub").select(F.col("a").alias("node")).distinct(), "node")
-    edges = C.stored(edges.unionByName(tour(hubs)), "links")
-    now = several.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = components(edges.unionByName(tour(hubs)))
+    now = several.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = now.groupBy("gid", "root").agg(F.count("*").alias("n")).groupBy("gid").agg(F.max(F.struct("n", "root")).alias("m"))
-    rest = now.join(main.select("gid", F.col("m.root").alias("main")), "gid").filter("root != main")
-    return C.stored(edges.unionByName(tour(rest)), "links")
+    main = C.counted_side(main.select("gid", F.col("m.root").alias("main")), broadcast_rows)
+    rest = now.join(main, "gid").filter("root != main")
+    # the components so far stand for the links that made them
+    return C.stored(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(tour(rest)), "links")
 
 
 def drop_near_duplicates(
@@ -315,8 +316,7 @@ def drop_near_duplicates(
     """All columns of docs; of each component the document with the smallest id stays, with all its rows."""
     found = link_documents(docs, doc_id=doc_id, text=text, width=width, num=num, den=den, reach=reach, broadcast_rows=broadcast_rows)
     gone = found.filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("gl_gone"), F.col("text_hash").alias("gl_hash"))
-    gone = C.stored(gone.distinct(), "gone")
-    side = F.broadcast(gone) if _small(gone, broadcast_rows) else gone
+    side = C.counted_side(gone.distinct(), broadcast_rows)
     return docs.join(side, (docs[doc_id] == F.col("gl_gone")) & (F.xxhash64(docs[text].cast("string")) == F.col("gl_hash")), "left_anti")
 
 
