@@ -34,10 +34,10 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-TABLE_WORDS = 300_000
+TABLE_WORDS = 200_000
 WORD_BYTES = 64  # longer words are not put in the table, which bounds its bytes
-COUNTER_WORDS = 400_000
-MEMO_WORDS = 300_000
+COUNTER_WORDS = 250_000
+MEMO_WORDS = 100_000
 
 #: Code points on which this Python's and the splitter's Unicode tables agree (tested); other texts take its own path.
 AGREED = ((0x0000, 0x0377), (0x0400, 0x052F), (0x2000, 0x2064), (0x20A0, 0x20BF))
@@ -163,6 +163,7 @@ def word_counts(docs: DataFrame, text: str, vocab) -> DataFrame:
                 yield from flush(found)
                 found.clear()
         yield from flush(found)
+        C.release()
 
     parts = docs.select(docs[text].cast("string").alias("t")).mapInArrow(count, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("tasks"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH_ROWS = 500
+BATCH_ROWS = 250
 TEXT = "__gl_text"
 
 
@@ -21,7 +21,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, so that a run of very long texts stays small in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -41,12 +41,10 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def utf8_slices(arr: pa.Array) -> tuple[np.ndarray, memoryview]:
-    """Offsets and the byte buffer of a string array (nulls: empty slices)."""
-    arr = arr.cast(pa.large_string()) if not pa.types.is_large_string(arr.type) else arr
-    _, offsets, data = arr.buffers()
-    off = np.frombuffer(offsets, np.int64)[arr.offset : arr.offset + len(arr) + 1]
-    return off, memoryview(data) if data is not None else memoryview(b"")
+def counted_side(df: DataFrame, rows: int) -> DataFrame:
+    """A join side, stored, that is broadcast only after it was seen to have at most `rows` rows."""
+    kept = stored(df, "side")
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
 
 
 def texts_bytes(arr: pa.Array) -> Iterator[bytes]:
@@ -55,6 +53,19 @@ def texts_bytes(arr: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def release() -> None:
+    """Hands unused memory of a finished task back: workers are reused, and their peaks would add up."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 def map_texts(
     docs: DataFrame,
     text: str,
@@ -81,6 +92,7 @@ def map_texts(
         for b in batches:
             made = work(b.column(at))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + made, names=names)
+        release()
 
     return source.mapInArrow(run, schema)
 
@@ -97,7 +109,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words with a bounded per-task memo."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 60_000):
         import xxhash
 
         self._hash = xxhash.xxh3_64_intdigest

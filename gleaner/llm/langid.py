@@ -147,7 +147,7 @@ def train_model(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     if train is not None:
         known = known.filter(train(F.col("gl_id")))
     # the smallest hashes of each language: a threshold from its count leaves about four times what is wanted to be ranked
-    counts = known.groupBy("gl_lang").agg(F.count("*").alias("gl_count"))
+    counts = C.counted_side(known.groupBy("gl_lang").agg(F.count("*").alias("gl_count")), 10_000)
     keys = known.select("gl_id", "gl_lang", F.pmod(F.xxhash64("gl_id"), F.lit(HASH_RANGE)).alias("gl_order")).join(counts, "gl_lang")
     keys = keys.filter(F.col("gl_order") <= F.lit(4.0 * per_lang * HASH_RANGE) / F.col("gl_count"))
     rank = F.row_number().over(Window.partitionBy("gl_lang").orderBy("gl_order", "gl_id"))

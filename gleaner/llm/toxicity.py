@@ -108,7 +108,7 @@ class Lexicon:
 class Classifier:
     """Word to class, with a bounded memo; insults carry their entry."""
 
-    def __init__(self, lexicon: Lexicon, limit: int = 200_000):
+    def __init__(self, lexicon: Lexicon, limit: int = 60_000):
         self.lexicon, self.limit = lexicon, limit
         self.memo: dict[bytes, int] = {}
         self.fixed = {w: k for k, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
