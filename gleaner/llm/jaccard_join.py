@@ -8,9 +8,9 @@ only groups that can qualify are opened.
   number of sets that hold them, all counted exactly; tokens beyond follow by hash.
 * Candidates. Two sets with |A and B| >= t |A or B| share a token among the first n - ceil(t n) + 1 of each. A node whose
   first tokens are all its own is done; so are nodes that share none of them.
-* Groups. A node joins the smallest node it shares a prefix token with, among nodes of its size class: linked sets differ
-  by one class at most. A group is dealt out into blocks of about `block` members. A block is a row of the matrix. Nodes visit, block by
-  block, the other groups that hold one of their prefix tokens.
+* Groups. A node joins the smallest node it shares a prefix token with; a large group is split into size classes around
+  its mean size and dealt out into blocks of about `block` members. A block is a row of the matrix. Nodes visit, block by
+  block, the other groups that hold one of their prefix tokens in a set of a size that can link.
 * Large groups (several blocks) are not compared all with all: each block first links its own members; then the best
   connected member of each block visits the other blocks; last, members still outside their group's main component
   visit them. Pairs of which both are in one component already need no comparison, so no link between components is lost.
@@ -61,16 +61,15 @@ def signature(tokens: np.ndarray) -> int:
 
 
 def set_rows(docs: DataFrame, text: str, keep: list[str], width: int, num: int, den: int, reach: float) -> DataFrame:
-    """keep, then n (set size), node (set hash), need (prefix size less tokens in reach), cls (size class), tokens (the
+    """keep, then n (set size), node (set hash), need (prefix size less tokens in reach), tokens (the
     first by hash, as many as the prefix takes or the reach holds)."""
     limit = np.uint64(min(0.99, reach * (den - num) / den) * 2.0**64)
-    ratio = math.log(den / num) * 1.0001
 
     def make():
         hasher = C.WordHasher()
 
         def work(arr: pa.Array) -> list[pa.Array]:
-            n, node, need, cls, first = [], [], [], [], []
+            n, node, need, first = [], [], [], []
             for body in C.texts_bytes(arr):
                 tokens = token_set(body, hasher, width)
                 size = len(tokens)
@@ -79,30 +78,28 @@ def set_rows(docs: DataFrame, text: str, keep: list[str], width: int, num: int,
                 prefix = size - -(-num * size // den) + 1 if size else 0
                 within = int(np.searchsorted(tokens, limit))
                 need.append(prefix - within)
-                cls.append(int(math.log(size) / ratio) if size else 0)
                 first.append(tokens[: max(prefix, within)].view(np.int64))
-            ints = [pa.array(x, pa.int32()) for x in (need, cls)]
-            return [pa.array(n, pa.int64()), pa.array(node, pa.int64()), *ints, pa.array(first, pa.list_(pa.int64()))]
+            return [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(need, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
 
         return work
 
-    kinds = {"n": T.LongType(), "node": T.LongType(), "need": T.IntegerType(), "cls": T.IntegerType(), "tokens": T.ArrayType(T.LongType())}
+    kinds = {"n": T.LongType(), "node": T.LongType(), "need": T.IntegerType(), "tokens": T.ArrayType(T.LongType())}
     fields = [T.StructField(c, t) for c, t in kinds.items()]
     return C.map_texts(docs, text, keep, fields, make)
 
 
 def shared_prefixes(nodes: DataFrame) -> DataFrame:
-    """nodes (node, need, cls, tokens) -> node, cls, tok, lead: prefix tokens in the exact order that other nodes' prefixes hold too.
+    """nodes (node, n, need, tokens) -> node, n, tok, lead: prefix tokens in the exact order that other nodes' prefixes hold too.
 
     A node with fewer tokens in reach than its prefix takes has them all in it, and the sent ones beyond. Of another node's
     prefix, its own tokens in reach fill the first places and those that the fewest sets hold the others.
     """
-    posting = nodes.select("node", "need", "cls", F.explode("tokens").alias("tok"))
+    posting = nodes.select("node", "n", "need", F.explode("tokens").alias("tok"))
     held = posting.groupBy("tok").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("sets"))
     common = posting.join(held.filter("lo < hi").select("tok", "sets"), "tok")
     by_node = Window.partitionBy("node")
     ranked = common.withColumn("gl_rank", F.row_number().over(by_node.orderBy("sets", "tok"))).withColumn("gl_all", F.count("*").over(by_node))
-    kept = ranked.filter("need > 0 or gl_rank <= need + gl_all").select("node", "cls", "tok")
+    kept = ranked.filter("need > 0 or gl_rank <= need + gl_all").select("node", "n", "tok")
     kept = C.stored(kept, "kept")
     lead = kept.groupBy("tok").agg(F.min("node").alias("lead"), F.max("node").alias("hi")).filter("lead < hi").select("tok", "lead")
     return kept.join(lead, "tok")
@@ -231,22 +228,28 @@ def link_documents(
     source = docs.select(docs[doc_id].alias("gl_id"), docs[text].cast("string").alias("gl_t"))
     source = source.withColumn("gl_h", F.xxhash64("gl_t"))
     rows = C.stored(set_rows(source, "gl_t", ["gl_id", "gl_h"], width, num, den, reach), "sets")
-    nodes = rows.filter("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("need", "cls", "tokens")])
+    nodes = rows.filter("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "need", "tokens")])
     shared = C.stored(shared_prefixes(nodes), "shared")
 
-    group = shared.groupBy("node", "cls").agg(F.min("lead").alias("lead")).select("node", "cls", F.xxhash64("lead", "cls").alias("gid"))
+    group = shared.groupBy("node", "n").agg(F.min("lead").alias("lead"))
+    # a large group is split into size classes around its mean size; linked sets are in one class or neighbours
+    wide = group.groupBy("lead").agg(F.count("*").alias("size"), F.avg(F.log("n")).alias("mid")).filter(F.col("size") > block)
+    step = (F.log("n") - F.col("mid")) / math.log(den / num) + 0.5
+    group = group.join(C.counted_side(wide.select("lead", "mid"), broadcast_rows), "lead", "left")
+    group = C.stored(group.select("node", "n", F.xxhash64("lead", F.coalesce(F.floor(step), F.lit(0))).alias("gid")), "group")
     size = group.groupBy("gid").agg(F.count("*").alias("size"))
     large = size.filter(F.col("size") > block).select("gid", F.ceil(F.col("size") / block).cast("int").alias("n_blk"))
     placed = group.join(C.counted_side(large, broadcast_rows), "gid", "left").withColumn("n_blk", F.coalesce("n_blk", F.lit(1)))
     placed = C.stored(placed.withColumn("blk", F.pmod(F.xxhash64("node"), "n_blk").cast("int")), "placed")
 
-    # tokens that stand in more than one group; a node visits the groups of its own and the neighbouring size classes that
-    # hold one of its tokens, block by block. Groups, not blocks, meet by token: a group's members share many tokens
-    at = shared.select("node", "tok").join(placed.select("node", "cls", "gid", "n_blk"), "node")
+    # tokens that stand in more than one group; a node visits, block by block, the other groups that hold one of its tokens
+    # in a set of a size that can link. Groups, not blocks, meet by token: a group's members share many tokens
+    at = shared.select("node", "tok").join(placed.select("node", "n", "gid", "n_blk"), "node")
     crossing = at.groupBy("tok").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo < hi").select("tok")
     at = C.stored(at.join(crossing, "tok"), "crossing")
-    held = at.select("tok", F.col("gid").alias("ug"), F.col("cls").alias("uc"), F.col("n_blk").alias("un")).distinct()
-    near = at.join(held, "tok").filter("gid < ug and abs(cls - uc) <= 1").select("node", "ug", "un").distinct()
+    held = at.groupBy("tok", F.col("gid").alias("ug"), F.col("n_blk").alias("un")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den)
+    near = at.join(held, "tok").filter((F.col("gid") < F.col("ug")) & fits).select("node", "ug", "un").distinct()
     visits = near.select("node", F.col("ug").alias("gid"), F.explode(F.expr("sequence(0, un - 1)")).alias("blk"))
     plan = placed.select("node", "gid", "blk", F.lit(False).alias("visits")).unionByName(visits.withColumn("visits", F.lit(True)))
 
