@@ -167,7 +167,7 @@ DOT_IN = re.compile(rf" {DOT_WORDS} | \. ", re.I)
 NUMBER_DOT = re.compile(rf"(?<=[0-9])\s?{DOT_WORDS}\s?(?=[0-9])", re.I)
 #: Letters for digits inside a long number of mostly digits.
 LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[ -]?[0-9OoIl]){12,18}(?![A-Za-z0-9])")
-LETTER_DIGIT_HINT = re.compile(r"[0-9][ -]?[OoIl](?![a-z]{2})")
+LETTER_IN = frozenset("OoIl")
 PLUS = re.compile(r"(?<!\w)(?:\(plus\)|\[plus\]|plus|más)\s?(?=[0-9])", re.I)
 
 
@@ -204,16 +204,25 @@ def glyphs(x: Aligned) -> Aligned:
     return x.edited([(*m.span(), table[m[0]]) for m in pattern.finditer(x.text)])
 
 
+def folded(text: str) -> str:
+    """Lower case of all that re.I takes for a letter of a digit name, character by character."""
+    return text.replace("İ", "i").replace("ſ", "s").lower()
+
+
 def spelled_digits(x: Aligned) -> Aligned:
     """A run of two or more spelled digits becomes those digits, joined."""
     edits = []
     for m in SPELLED.finditer(x.text):
-        names = [(a.start(), a.end(), DIGIT_OF[a[0].lower()]) for a in ONE_SPELLED.finditer(x.text, *m.span())]
+        names = [(a.start(), a.end(), DIGIT_OF[folded(a[0])]) for a in ONE_SPELLED.finditer(x.text, *m.span())]
         for i, (a, b, d) in enumerate(names):
             edits.append((a, names[i + 1][0] if i + 1 < len(names) else b, d))
     return x.edited(edits)
 
 
+def mostly_digits(number: str) -> bool:
+    return sum(map(str.isdigit, number)) >= 8
+
+
 def signs(x: Aligned) -> Aligned:
     x = x.edited([(*m.span(), "@" if m["at"] else ".") for m in BRACKET_SIGN.finditer(x.text)])
     edits = []
@@ -229,7 +238,7 @@ def signs(x: Aligned) -> Aligned:
     x = x.edited(edits)
     edits = []
     for m in LETTER_DIGITS.finditer(x.text):
-        if sum(map(str.isdigit, m[0])) >= 8:
+        if mostly_digits(m[0]):
             edits += [(i, i + 1, "0" if x.text[i] in "Oo" else "1") for i in range(*m.span()) if x.text[i] in "OoIl"]
     x = x.edited(edits)
     x = x.edited([(*m.span(), ".") for m in NUMBER_DOT.finditer(x.text)])
@@ -237,20 +246,22 @@ def signs(x: Aligned) -> Aligned:
 
 
 TRANSDUCERS = (glyphs, spelled_digits, signs)
-SPELLED_HINT = re.compile(rf"(?<!\w){_NAME}[ \t\n,-]{{1,3}}{_NAME}(?!\w)", re.I)
+#: Each is a necessary condition of the pattern it stands before: a second digit name; a disguised dot or a space beside an "@".
 SECOND_NAME = re.compile(rf"[ \t\n,-]{_NAME}(?!\w)")
-SIGN_HINT = re.compile(
-    rf"{OPEN}\s?(?:{AT_WORDS}|@|{DOT_WORDS}|\.|plus)\s?{CLOSE}| {DOT_WORDS} | @|@ |(?:plus|más)\s?[0-9]", re.I
-)
+WORD_SIGN_PART = re.compile(rf"{DOT_IN.pattern}| @|@ ", re.I)
 
 
 def has_work(text: str) -> bool:
-    """Whether any transducer could change what is found; False is certain."""
+    """Whether a pattern of any transducer has a match; where none has, each leaves the text as it is, so False is certain."""
     if not text.isascii() and not glyph_set().isdisjoint(text):
         return True
-    if SECOND_NAME.search(text.lower()) and SPELLED_HINT.search(text):
+    if SECOND_NAME.search(folded(text)) and SPELLED.search(text):
+        return True
+    if BRACKET_SIGN.search(text) or NUMBER_DOT.search(text) or PLUS.search(text):
+        return True
+    if WORD_SIGN_PART.search(text) and WORD_SIGN.search(text):
         return True
-    return bool(SIGN_HINT.search(text) or LETTER_DIGIT_HINT.search(text))
+    return any(mostly_digits(m[0]) and not LETTER_IN.isdisjoint(m[0]) for m in LETTER_DIGITS.finditer(text))
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:

@@ -1,6 +1,8 @@
 import hashlib
 import re
+import sys
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,6 +64,41 @@ def test_disguises():
     assert found("ring +4\u200b9\u00a030 123456") == [("phone", "+4\u200b9\u00a030 123456")]
 
 
+@pytest.mark.parametrize("disguise", [
+    "192dot168dot0dot1", "john@example . com", "john at example . com", "l111 1111 1111 1117", "1ooo 1111 1111 1111", "sİx ſeven dot one one dot two two dot three one",
+])
+def test_a_disguise_alone_in_its_text(disguise):
+    assert [t for _, t in found(disguise)] == [disguise]
+    assert disguise in [t for _, t in found(f"{disguise}, or bob (at) c (dot) de")]
+
+
+PARTS = [
+    "dot", "DOT", "punkt", "at", "@", ".", " ", "  ", "\n", "\u00a0", ",", "-", "_", "(", ")", "[", "]", "{", "}", "<", "*", "|", "plus", "(plus)", "[plus]", "más", "+",
+    "john", "example", "com", "one", "Two", "ſeven", "sİx", "fünf", "l", "O", "o", "I", "1", "0", "168", "1111", "1117", "4930123456", "é", "x", "\u200b",
+]
+
+
+@settings(max_examples=4000, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=24).map("".join))
+def test_gate_leaves_no_span_out(text):
+    with pytest.MonkeyPatch.context() as m:
+        gated = P.find_spans(text)
+        m.setattr(P, "has_work", lambda _: True)
+        assert P.find_spans(text) == gated
+    x = P.Aligned(text)
+    for step in P.TRANSDUCERS:
+        x = step(x)
+    assert P.has_work(text) or x.text == text
+
+
+def test_folded_is_what_the_patterns_ignore():
+    letters = {c for w in P.DIGIT_OF for c in w}
+    one = re.compile("[" + "".join(letters) + "]", re.I)
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if one.fullmatch(c) and c not in P.glyph_set():
+            assert P.folded(c) in letters
+
+
 def test_clean_text_stays():
     for text in ("The thing at the dot. One two. He is at it, point taken.", "meet at nine. Or at ten", "le point de un deux", ""):
         assert P.find_spans(text) == ([], [])
