@@ -224,6 +224,19 @@ def link_documents(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Per document row: doc_id, text_hash, n_shingles, component_id. Two sets link if den * |and| >= num * |or|."""
+    found = _linked_rows(docs, doc_id, text, width, num, den, block, reach, broadcast_rows)
+    return found.select(
+        F.col("gl_id").alias(doc_id),
+        F.col("gl_h").alias("text_hash"),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component", "gl_id").alias("component_id"),
+    )
+
+
+def _linked_rows(
+    docs: DataFrame, doc_id: str, text: str, width: int, num: int, den: int, block: int, reach: float, broadcast_rows: int
+) -> DataFrame:
+    """Per document row: gl_id, gl_h, n (shingles); root and component (its smallest id) where the row has a like."""
     C.bounded_batches(docs.sparkSession)
     source = docs.select(docs[doc_id].alias("gl_id"), docs[text].cast("string").alias("gl_t"))
     source = source.withColumn("gl_h", F.xxhash64("gl_t"))
@@ -264,14 +277,9 @@ def link_documents(
     sizes = rows.filter("n > 0").groupBy("node").agg(F.min("gl_id").alias("doc"), F.count("*").alias("copies"))
     classes = sizes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("doc").alias("component"), F.sum("copies").alias("members")).filter("members > 1")
-    named = C.stored(classes.join(least, "root").select("node", "component"), "named")
+    named = C.stored(classes.join(least, "root").select("node", "root", "component"), "named")
     out = rows.select("gl_id", "gl_h", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
-    return out.select(
-        F.col("gl_id").alias(doc_id),
-        F.col("gl_h").alias("text_hash"),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "gl_id").alias("component_id"),
-    )
+    return out.select("gl_id", "gl_h", "n", "root", "component")
 
 
 def _candidate_sets(source: DataFrame, rows: DataFrame, wanted: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
@@ -316,11 +324,25 @@ def drop_near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, num: int = NEAR_NUM, den: int = DEN,
     reach: float = NEAR_REACH, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """All columns of docs; of each component the document with the smallest id stays, with all its rows."""
-    found = link_documents(docs, doc_id=doc_id, text=text, width=width, num=num, den=den, reach=reach, broadcast_rows=broadcast_rows)
-    gone = found.filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("gl_gone"), F.col("text_hash").alias("gl_hash"))
-    side = C.counted_side(gone.distinct(), broadcast_rows)
-    return docs.join(side, (docs[doc_id] == F.col("gl_gone")) & (F.xxhash64(docs[text].cast("string")) == F.col("gl_hash")), "left_anti")
+    """All columns of docs; one row of each component stays: of the smallest id, nulls last, then of the smallest text hash,
+    and of rows that repeat both the smallest in JSON. Rows without a shingle have no component and all stay.
+    """
+    found = _linked_rows(docs, doc_id, text, width, num, den, BLOCK, reach, broadcast_rows).filter("root is not null")
+    texts = C.stored(found.groupBy("root", "gl_id", "gl_h").agg(F.count("*").alias("copies")), "texts")
+    best = texts.groupBy("root").agg(F.min(F.struct(F.col("gl_id").isNull().alias("no_id"), "gl_id", "gl_h")).alias("b"))
+    best = C.counted_side(best.select("root", F.col("b.gl_id").alias("b_id"), F.col("b.gl_h").alias("b_h")), broadcast_rows)
+    stays = F.col("gl_id").eqNullSafe(F.col("b_id")) & (F.col("gl_h") == F.col("b_h"))
+    judged = texts.join(best, "root").select(F.col("gl_id").alias("gl_gone"), F.col("gl_h").alias("gl_hash"), stays.alias("gl_stays"), "copies")
+    side = C.counted_side(judged.filter("not gl_stays or copies > 1"), broadcast_rows)
+    match = docs[doc_id].eqNullSafe(F.col("gl_gone")) & (F.xxhash64(docs[text].cast("string")) == F.col("gl_hash"))
+    kept = docs.join(side, match, "left_anti")
+    repeated = side.filter("gl_stays")
+    if not repeated.limit(1).count():
+        return kept
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    again = docs.join(C.counted_side(repeated, broadcast_rows), match).select("gl_gone", "gl_hash", whole.alias("gl_row"))
+    one = again.groupBy("gl_gone", "gl_hash").agg(F.min_by("gl_row", F.to_json("gl_row")).alias("gl_row"))
+    return kept.unionByName(one.select("gl_row.*"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

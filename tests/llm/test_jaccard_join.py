@@ -64,6 +64,22 @@ def test_drop_and_empty(spark):
     assert J.link_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [10**6, 0])
+def test_one_row_of_each_component_stays(spark, rows):
+    text, other = " ".join(f"t{i}" for i in range(100)), " ".join(f"o{i}" for i in range(100))
+    data = [
+        (3, text, "b"), (3, text, "a"), (3, text, "a"), (4, text.replace("t50", "u"), "c"), (5, text.replace("t60", "u"), "d"), (None, text, "e"),
+        (None, other, "g"), (None, other, "f"), (None, other.replace("o50", "u"), "f"), (None, "alone without any id here", "h"),
+        (8, "twice the very same row here", "i"), (8, "twice the very same row here", "i"), (8, "another text of that id now", "j"),
+        (9, None, "k"), (9, None, "k"), (None, "", "l"),
+        (11, other.replace("o", "p"), "m"), (11, other.replace("o", "p").replace("p50", "u"), "m"),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, text string, url string").repartition(3)
+    kept = sorted(((r.url, r.doc_id, r.text) for r in J.drop_near_duplicates(df, broadcast_rows=rows).collect()), key=str)
+    assert [k[0] for k in kept if k[1] is not None or k[0] in "hl"] == ["a", "h", "i", "j", "k", "k", "l", "m"]
+    assert ("a", 3, text) in kept and len([k for k in kept if (k[2] or "").startswith("o0 ")]) == 1 and len(kept) == 9
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (950, 950)], "a long, b long")
     got = {r.node: r.root for r in components(df).collect()}
