@@ -1,10 +1,11 @@
 """WARC derivatives: from each response record a metadata record and a plain-text conversion record.
 
 Both refer to the response by its record id, carry its target, date and payload digest, and keep the source's WARC and
-HTTP headers in the metadata. Record ids of derivatives are made from the response's id, so a repeated run names them alike.
+HTTP headers in the metadata: as ordered pairs of all (source-headers, http-headers) and, for look-ups, by name with the last
+value (source, http). Record ids of derivatives are made from the response's id, so a repeated run names them alike.
 
-Scale: one pass, record by record, no shuffle; a record that cannot be read gives a metadata record that says so and no
-conversion.
+Scale: one pass, record by record, no shuffle; a record that cannot be read, or whose entity has a coding other
+than gzip and deflate, gives a metadata record that says so and no conversion.
 
 Defined results: a null or empty page is a response with an empty body and an empty conversion; records of other types
 than response pass unmentioned; repeated records are each converted.
@@ -19,6 +20,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,11 +97,31 @@ def dechunk(body: bytes) -> bytes:
 def http_payload(block: bytes) -> tuple[str, Headers, bytes]:
     """Status line, headers and the decoded entity of an HTTP response."""
     first, headers, body = read_headers(block)
-    if (get(headers, "Transfer-Encoding") or "").lower() == "chunked":
-        body = dechunk(body)
-    if (get(headers, "Content-Encoding") or "").lower() == "gzip":
-        body = gzip.decompress(body)
-    return first, headers, body
+    return first, headers, entity(headers, body)
+
+
+def entity(headers: Headers, body: bytes) -> bytes:
+    """The body without its transfer and content codings, the last applied first; ValueError for one that is not known."""
+    for name in ("Transfer-Encoding", "Content-Encoding"):
+        codings = [c.strip().lower() for k, v in headers if k.lower() == name.lower() for c in v.split(",")]
+        for coding in reversed(codings):
+            if coding == "chunked" and name == "Transfer-Encoding":
+                body = dechunk(body)
+            elif coding in ("gzip", "x-gzip"):
+                body = gzip.decompress(body)
+            elif coding == "deflate":
+                body = inflate(body)
+            elif coding not in ("", "identity"):
+                raise ValueError(f"{name} {coding} is not supported")
+    return body
+
+
+def inflate(body: bytes) -> bytes:
+    """A deflate entity, with the zlib header or, as some servers send it, without."""
+    try:
+        return zlib.decompress(body)
+    except zlib.error:
+        return zlib.decompress(body, -zlib.MAX_WBITS)
 
 
 HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.I | re.S)
@@ -152,16 +174,18 @@ def derivatives(record: bytes) -> Iterator[tuple[str, Headers, bytes]]:
     source = get(headers, "WARC-Record-ID") or ""
     shared = [("WARC-Target-URI", get(headers, "WARC-Target-URI") or ""), ("WARC-Date", get(headers, "WARC-Date") or ""), ("WARC-Refers-To", source)]
     linked = [(k, v) for k in ("WARC-Payload-Digest", "WARC-Warcinfo-ID") if (v := get(headers, k))]
-    info: dict = {"source": {k: v for k, v in headers if k.lower() != "content-length"}}
+    info: dict = {"source": {k: v for k, v in headers if k.lower() != "content-length"}, "source-headers": headers}
     text = None
     try:
-        status, http, body = http_payload(block)
+        status, http, body = read_headers(block)
+        info |= {"status": status, "http": dict(http), "http-headers": http}
+        body = entity(http, body)
         page = decoded(body, get(http, "Content-Type"))
         title, links = title_and_links(page)
         text = plain_text(page).encode()
         actual = sha1_digest(body)
-        info |= {"status": status, "http": dict(http), "title": title, "links": links, "payload-length": len(body), "payload-digest-matches": dict(linked).get("WARC-Payload-Digest", actual) == actual}
-    except (ValueError, OSError, EOFError) as e:
+        info |= {"title": title, "links": links, "payload-length": len(body), "payload-digest-matches": dict(linked).get("WARC-Payload-Digest", actual) == actual}
+    except (ValueError, OSError, EOFError, zlib.error) as e:
         info["error"] = f"{type(e).__name__}: {e}"
     concurrent = record_id(source, "conversion")
     meta = json.dumps(info, ensure_ascii=False, sort_keys=True).encode()
@@ -188,7 +212,7 @@ def build_derivatives(records: DataFrame, *, key: str, record: str = "record", w
             for i, raw in enumerate(b.column(1)):
                 try:
                     made = list(derivatives(raw.as_py() or b""))
-                except (ValueError, OSError, EOFError) as e:
+                except (ValueError, OSError, EOFError, zlib.error) as e:
                     note = json.dumps({"error": f"{type(e).__name__}: {e}"}).encode()
                     made = [("metadata", [("WARC-Type", "metadata"), ("WARC-Block-Digest", sha1_digest(note)), ("Content-Type", "application/json")], note)]
                 for kind, headers, block in made:
@@ -221,4 +245,4 @@ def page_responses(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a response record, and its metadata and conversion records."""
-    return build_derivatives(page_responses(C.read(spark, sf_dir, "pages")), key="page_id", with_records=False)
+    return build_derivatives(page_responses(C.read(spark, sf_dir, "pages")), key="page_id")

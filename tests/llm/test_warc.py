@@ -1,5 +1,8 @@
 import gzip
 import json
+import zlib
+
+import pytest
 
 from gleaner.llm import warc as W
 
@@ -52,3 +55,42 @@ def test_rows(spark):
     bad = spark.createDataFrame([(1, b"junk"), (2, None)], "page_id long, record binary")
     assert [r.record_type for r in W.build_derivatives(bad, key="page_id").collect()] == ["metadata", "metadata"]
     assert W.build_derivatives(records.limit(0), key="page_id").count() == 0
+
+
+def response(http: bytes, body: bytes, *more):
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), *more]
+    return W.write_record(headers, b"HTTP/1.1 200 OK\r\n" + http + b"\r\n" + body)
+
+
+def test_repeated_headers_all_stay_in_order():
+    record = response(b"Set-Cookie: a=1\r\nVia: x\r\nSet-Cookie: b=2\r\n", b"<p>ok</p>", ("WARC-Concurrent-To", "<urn:uuid:2>"), ("WARC-Concurrent-To", "<urn:uuid:3>"))
+    info = json.loads(next(W.derivatives(record))[2])
+    assert info["http-headers"] == [["Set-Cookie", "a=1"], ["Via", "x"], ["Set-Cookie", "b=2"]]
+    assert [list(h) for h in W.read_record(record)[0]] == info["source-headers"]
+    assert [v for k, v in info["source-headers"] if k == "WARC-Concurrent-To"] == ["<urn:uuid:2>", "<urn:uuid:3>"]
+
+
+@pytest.mark.parametrize("coding,body", [
+    ("deflate", zlib.compress(b"<p>ok</p>")), ("Deflate", zlib.compress(b"<p>ok</p>")[2:-4]), ("x-gzip", gzip.compress(b"<p>ok</p>")),
+    ("deflate, gzip", gzip.compress(zlib.compress(b"<p>ok</p>"))), ("identity", b"<p>ok</p>"),
+])
+def test_known_codings(coding, body):
+    (_, _, info), (_, _, text) = W.derivatives(response(f"Content-Encoding: {coding}\r\n".encode(), body))
+    assert text == b"ok" and "error" not in json.loads(info)
+
+
+@pytest.mark.parametrize("coding,body", [("br", b"\x0b\x02\x80<p>ok</p>\x03"), ("gzip, br", b"x"), ("deflate", b"junk"), ("gzip", gzip.compress(b"<p>ok</p>")[:10] + b"\xff" * 9)])
+def test_other_codings_are_noted(coding, body):
+    ((kind, _, info),) = W.derivatives(response(f"Via: x\r\nContent-Encoding: {coding}\r\n".encode(), body))
+    info = json.loads(info)
+    assert kind == "metadata" and info["error"] and ["Via", "x"] in info["http-headers"] and "title" not in info
+
+
+def test_the_query_returns_the_records(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a.example/", PAGE), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = W.op4_warc(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.record_type) for r in rows) == [(p, k) for p in (1, 2) for k in ("conversion", "metadata")]
+    blocks = {(r.page_id, r.record_type): W.read_record(bytes(r.derived)) for r in rows}
+    assert blocks[1, "conversion"][1].decode() == "A & B\nEén zin.\nTwee\ndrie <4>\nlink"
+    assert W.get(blocks[1, "metadata"][0], "WARC-Concurrent-To") == W.get(blocks[1, "conversion"][0], "WARC-Record-ID")
+    assert json.loads(blocks[1, "metadata"][1])["title"] == "A & B"
