@@ -192,7 +192,7 @@ def _pass(docs: DataFrame, text: str, keep: list[str], automaton, fields: list[T
                 s, found = auto.hits(words) if auto else ([], ())
                 counts.append(len(words))
                 spans.append([list(x) for x in s])
-                items.append(sorted(auto.names[i] for i in found) if found else [])
+                items.append(sorted({auto.names[i] for i in found}) if found else [])
             return [
                 pa.array(counts, pa.int64()),
                 pa.array(spans, pa.list_(pa.list_(pa.int64()))),

@@ -75,6 +75,16 @@ def test_contract_columns(tables, block_words):
     assert {r.items_sha256 for r in got if r.doc_id == 4} == {D.items_digest([])}
 
 
+@pytest.mark.parametrize("block_words", [1000, 25, 5])
+def test_a_repeated_item_counts_once(tables, block_words):
+    docs, bench = tables
+    twice = bench.union(bench).union(bench.sparkSession.createDataFrame([(7, "tiny thing")], bench.schema)).coalesce(1)
+    got = D.contamination_digest(D.find_contamination(docs, twice, block_words=block_words)).collect()
+    assert {(r.doc_id, r.n_items, r.items_sha256) for r in got if r.n_items} == {
+        (1, 1, D.items_digest(["7"])), (2, 1, D.items_digest(["7"])), (None, 2, D.items_digest(["10", "7"])),
+    }
+
+
 @pytest.mark.parametrize("block_words", [1000, 5])
 def test_drop_excise_and_empty(tables, spark, block_words):
     docs, bench = tables
