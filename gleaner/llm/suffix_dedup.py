@@ -1,17 +1,22 @@
-"""Removal of repeated byte strings with sharded, sparse suffix arrays in a logarithmic index family.
+"""Removal of repeated byte strings with a sharded minimiser hash join, its hash keys in a logarithmic family of sorted runs.
 
-A byte goes if a string of `length` bytes that covers it also starts in a document of a smaller id. All suffixes of all
-texts would be many times the input, so suffixes are sampled where every string of `length` bytes has one:
+A byte goes if a string of `length` bytes that covers it also starts in a document of a smaller id. This is not
+the suffix-array form of the method: no suffixes are put in lexicographic order, and no level holds any; the levels hold
+hashes, and all runs of a shard are at hand before its family is built. All suffixes of all texts would be many times the
+input, and sorted suffixes for every offset around the anchors ran beyond the CPU budget (README). Instead places are
+sampled where every string of `length` bytes has one:
 
 * Anchors. In each string of `length` bytes the `gram`-byte string with the least hash is an anchor (a minimiser). Equal
   strings have equal anchors at equal places, so a repeated string is found at an anchor that stands in two documents.
 * Chunks and shards. Documents are dealt into chunks of a few MB (the batches), anchors into shards by hash. A chunk
-  sends a shard a sorted run; the shard keeps its runs in a logarithmic family of sorted levels: a new run is merged with
+  sends a shard a run; the shard sorts its runs by key into a logarithmic family of levels: a new run is merged with
   a level of its size, and the result with the next, so each entry is merged a logarithmic number of times.
 * Round 1. Runs of anchor hashes: which of a chunk's anchors stand elsewhere too. Only hashes move.
-* Round 2. For those anchors the suffixes around them (`length` - `gram` bytes on either side; distinct ones of the
-  chunk, each with its smallest document) move to the shard. For each offset the family holds the sorted suffixes with
-  their smallest document; a scan of each run against it tells which strings start in a smaller document. Bytes are compared, not only hashes.
+* Round 2. For those anchors the windows around them (`length` - `gram` bytes on either side; distinct ones of the
+  chunk, each with its smallest document) move to the shard. The family holds a 64-bit hash of each whole window with its
+  smallest document. Distinct windows are grouped by the hash of their anchor and compared pairwise in small groups, and
+  by a hash of each string of `length` bytes in large ones, which tells which strings start in a smaller document. Bytes
+  are compared, not only hashes.
 * Round 3. Each chunk maps the answers back to its documents and cuts.
 
 Scale: texts are shuffled once, the exchange is reused by all rounds; a common string is sent once by each chunk.
