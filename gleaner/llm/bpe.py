@@ -6,7 +6,7 @@
    make the table; each is encoded once, in Spark. Its size is bounded, so it is broadcast.
 3. A second pass joins ids back by position: word -> ids from the table. A word outside the table is encoded where it
    stands, once per task; most of those stand in one place of the corpus only.
-4. Decoding joins ids to pieces, a fixed table of the vocabulary's size.
+4. Decoding looks each id up in the worker, in the fixed table of the vocabulary's pieces; there is no join.
 
 The form in which every word of every text is a row, joined by shuffle in both directions, was rejected: it moves
 several times the input (README).
