@@ -4,7 +4,8 @@ Words become classes: insult, threat, target, negation, report or other. The ins
 stems: a seed list, and stems learned from labelled rows (log odds as weight). Small transducers for negation scope,
 reported speech and targets are composed into one automaton over word classes; it marks every insult or threat with
 the context it stands in. A document's score is a logistic model over what its clauses held: asserted, negated and
-reported insults, insults and threats that have a target in their clause, and their density.
+reported insults, insults and threats that have a target in their clause, and, beside these clause features, the weight, count and
+density of all entries of the lexicon that occur often enough, whatever clause or negation they stand in.
 
 Scale: scoring is one pass, no shuffle. Stems and model are fitted on the driver on at most `sample` labelled rows of
 each class (those with the smallest hash of the id), the class shares come from all training labels.
