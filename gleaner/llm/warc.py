@@ -4,11 +4,13 @@ Both refer to the response by its record id, carry its target, date and payload
 HTTP headers in the metadata: as ordered pairs of all (source-headers, http-headers) and, for look-ups, by name with the last
 value (source, http). Record ids of derivatives are made from the response's id, so a repeated run names them alike.
 
-Scale: one pass, record by record, no shuffle; a record that cannot be read, or whose entity has a coding other
-than gzip and deflate, gives a metadata record that says so and no conversion.
+Scale: one pass, record by record, no shuffle; markup is read in one walk, in time proportional to the page whatever it
+holds. A record that cannot be read, or whose entity has a coding other than gzip and deflate, gives a metadata
+record that says so, with the record's id and headers as far as they can be read, and no conversion.
 
 Defined results: a null or empty page is a response with an empty body and an empty conversion; records of other types
-than response pass unmentioned; repeated records are each converted.
+than response pass unmentioned; repeated records are each converted, under the same ids; a very long page is one record like any
+other; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -83,6 +85,43 @@ def read_record(data: bytes) -> tuple[Headers, bytes]:
     return headers, rest[:size]
 
 
+def salvaged_headers(data: bytes) -> Headers:
+    """The WARC headers of a record that cannot be read whole, as far as they go."""
+    try:
+        if data[:2] == b"\x1f\x8b":
+            data = zlib.decompressobj(wbits=31).decompress(data)
+        first, headers, _ = read_headers(data)
+    except (ValueError, zlib.error):
+        return []
+    return headers if first.startswith("WARC/") else []
+
+
+def split_records(data: bytes) -> Iterator[bytes]:
+    """The records of a WARC file, plain or with a gzip member for each; what cannot be split is one last record."""
+    while data:
+        if data[:2] == b"\x1f\x8b":
+            member = zlib.decompressobj(wbits=31)
+            try:
+                body = member.decompress(data) + member.flush()
+            except zlib.error:
+                yield data
+                return
+            yield body if member.eof else data
+            data = member.unused_data
+            continue
+        try:
+            _, headers, rest = read_headers(data)
+            size = int(get(headers, "Content-Length") or -1)
+        except ValueError:
+            size = -1
+        if not 0 <= size <= len(rest):
+            yield data
+            return
+        end = len(data) - len(rest) + size
+        yield data[:end]
+        data = data[end:].lstrip(b"\r\n")
+
+
 def dechunk(body: bytes) -> bytes:
     out = []
     while True:
@@ -124,11 +163,18 @@ def inflate(body: bytes) -> bytes:
         return zlib.decompress(body, -zlib.MAX_WBITS)
 
 
-HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.I | re.S)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-LINK = re.compile(r"""<(?:a|link|img|iframe|area)\b[^>]*?\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|table|tr|h[1-6]|nav|header|footer|section|article|aside|main|blockquote|pre|hr|form|dl|dt|dd|head|body|title)\b[^>]*>", re.I)
-TAG = re.compile(r"</?[A-Za-z][^>]*>")
+TAG_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9]*+)")
+#: the rest of a tag up to its ">", one in a quoted value does not count
+TAG_REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
+ADDRESS = re.compile(r"""\b(?:href|src)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Elements without visible text, elements that link, and elements that end a line.
+HIDDEN = frozenset("script style noscript template".split())
+LINKING = frozenset("a link img iframe area".split())
+BREAKS = frozenset(
+    """p div br li ul ol table tr h1 h2 h3 h4 h5 h6 nav header footer section article aside main blockquote pre hr form dl dt dd
+    head body title""".split()
+)
+CLOSING = {name: re.compile(rf"</{name}\s*+>", re.I) for name in (*HIDDEN, "title")}
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
 
 
@@ -140,17 +186,49 @@ def decoded(body: bytes, content_type: str | None) -> str:
         return body.decode("utf-8", "replace")
 
 
-def plain_text(page: str) -> str:
-    """Visible text: a line for each block, white space inside a line collapsed."""
-    text = html.unescape(TAG.sub("", BREAK.sub("\n", HIDDEN.sub("", page))))
-    return "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x)
-
-
-def title_and_links(page: str) -> tuple[str, list[str]]:
-    seen = HIDDEN.sub("", page)
-    title = TITLE.search(seen)
-    links = [html.unescape(a or b or c).strip() for a, b, c in LINK.findall(seen)]
-    return " ".join(html.unescape(title[1]).split()) if title else "", links
+def read_page(page: str) -> tuple[str, list[str], str]:
+    """Title, links in order, and visible text: a line for each block, white space inside a line collapsed.
+
+    One walk over the page that never goes back: what is opened and not closed is read once to the end, and where no ">" is
+    left the rest is text. Markup of any kind so takes time in proportion to the page.
+    """
+    out: list[str] = []
+    links: list[str] = []
+    title, titled, quoted, at = "", False, True, 0
+    while (lt := page.find("<", at)) >= 0:
+        out.append(page[at:lt])
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        name = TAG_NAME.match(page, lt)
+        if not name and not page.startswith(("<!", "<?"), lt):
+            out.append("<")
+            at = lt + 1
+            continue
+        rest = TAG_REST.match(page, name.end()) if name and quoted else None
+        end = rest.end() if rest else page.find(">", lt) + 1
+        quoted &= bool(rest) or not name
+        if not end:
+            at = lt
+            break
+        at = end
+        if not name:
+            continue
+        opens, kind = page[lt + 1] != "/", name[1].lower()
+        if kind in HIDDEN:
+            closed = CLOSING[kind].search(page, end) if opens else None
+            at = closed.end() if closed else len(page) if opens else end
+        elif kind in BREAKS:
+            out.append("\n")
+            if kind == "title" and opens and not titled:
+                titled, closed = True, CLOSING[kind].search(page, end)
+                title = " ".join(html.unescape(page[end : closed.start()]).split()) if closed else ""
+        elif kind in LINKING and opens and (found := ADDRESS.search(page, name.end(), end)):
+            links.append(html.unescape(found[1] or found[2] or found[3] or "").strip())
+    out.append(page[at:])
+    lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
+    return title, links, "\n".join(x for x in lines if x)
 
 
 def response_record(page_id: str, url: str, page: bytes, date: str) -> bytes:
@@ -166,27 +244,41 @@ def response_record(page_id: str, url: str, page: bytes, date: str) -> bytes:
     )
 
 
+READ_ERRORS = (ValueError, OSError, EOFError, zlib.error)
+
+
 def derivatives(record: bytes) -> Iterator[tuple[str, Headers, bytes]]:
-    """(type, headers, block) of the metadata record and, for readable responses, of the conversion record."""
-    headers, block = read_record(record)
-    if get(headers, "WARC-Type") != "response":
+    """(type, headers, block) of the metadata record and, for readable responses, of the conversion record.
+
+    A record that cannot be read gives a metadata record with the error and with what its headers still tell.
+    """
+    broken = None
+    try:
+        headers, block = read_record(record)
+    except READ_ERRORS as e:
+        headers, block, broken = salvaged_headers(record), b"", e
+    if not broken and get(headers, "WARC-Type") != "response":
         return
     source = get(headers, "WARC-Record-ID") or ""
-    shared = [("WARC-Target-URI", get(headers, "WARC-Target-URI") or ""), ("WARC-Date", get(headers, "WARC-Date") or ""), ("WARC-Refers-To", source)]
+    shared = [(k, v) for k, v in (("WARC-Target-URI", get(headers, "WARC-Target-URI")), ("WARC-Date", get(headers, "WARC-Date")), ("WARC-Refers-To", source)) if v or not broken and v is not None]
     linked = [(k, v) for k in ("WARC-Payload-Digest", "WARC-Warcinfo-ID") if (v := get(headers, k))]
     info: dict = {"source": {k: v for k, v in headers if k.lower() != "content-length"}, "source-headers": headers}
     text = None
     try:
+        if broken:
+            raise broken
         status, http, body = read_headers(block)
         info |= {"status": status, "http": dict(http), "http-headers": http}
         body = entity(http, body)
         page = decoded(body, get(http, "Content-Type"))
-        title, links = title_and_links(page)
-        text = plain_text(page).encode()
+        title, links, text = read_page(page)
+        text = text.encode()
         actual = sha1_digest(body)
         info |= {"title": title, "links": links, "payload-length": len(body), "payload-digest-matches": dict(linked).get("WARC-Payload-Digest", actual) == actual}
-    except (ValueError, OSError, EOFError, zlib.error) as e:
+    except READ_ERRORS as e:
+        text = None
         info["error"] = f"{type(e).__name__}: {e}"
+    source = source or sha1_digest(record)
     concurrent = record_id(source, "conversion")
     meta = json.dumps(info, ensure_ascii=False, sort_keys=True).encode()
     links_to = [("WARC-Concurrent-To", concurrent)] if text is not None else []
@@ -210,12 +302,7 @@ def build_derivatives(records: DataFrame, *, key: str, record: str = "record", w
         for b in batches:
             at, rows = [], []
             for i, raw in enumerate(b.column(1)):
-                try:
-                    made = list(derivatives(raw.as_py() or b""))
-                except (ValueError, OSError, EOFError, zlib.error) as e:
-                    note = json.dumps({"error": f"{type(e).__name__}: {e}"}).encode()
-                    made = [("metadata", [("WARC-Type", "metadata"), ("WARC-Block-Digest", sha1_digest(note)), ("Content-Type", "application/json")], note)]
-                for kind, headers, block in made:
+                for kind, headers, block in derivatives(raw.as_py() or b""):
                     at.append(i)
                     links = len(json.loads(block).get("links", ())) if kind == "metadata" else None
                     row = [kind, *(get(headers, h) for h in ("WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "WARC-Source-Payload-Digest", "WARC-Block-Digest")), len(block), links]
@@ -243,6 +330,20 @@ def page_responses(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
     return source.mapInArrow(run, schema)
 
 
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """path, number, record: the records of the .warc and .warc.gz files of a folder. A file is split in one task, which holds it whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, body in zip(b.column(0), b.column(1), strict=True):
+                for i, record in enumerate(split_records(body.as_py())):
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([i], pa.int64()), pa.array([record], pa.binary())], names=["path", "number", "record"])
+
+    C.bounded_batches(spark)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
+    return found.select("path", "content").mapInArrow(run, "path string, number long, record binary")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a response record, and its metadata and conversion records."""
     return build_derivatives(page_responses(C.read(spark, sf_dir, "pages")), key="page_id")

@@ -1,6 +1,10 @@
 import gzip
+import html
 import json
+import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import pytest
 
@@ -94,3 +98,72 @@ def test_the_query_returns_the_records(spark, tmp_path):
     assert blocks[1, "conversion"][1].decode() == "A & B\nEén zin.\nTwee\ndrie <4>\nlink"
     assert W.get(blocks[1, "metadata"][0], "WARC-Concurrent-To") == W.get(blocks[1, "conversion"][0], "WARC-Record-ID")
     assert json.loads(blocks[1, "metadata"][1])["title"] == "A & B"
+
+
+@pytest.mark.parametrize("opening", ["<a x ", "<script ", "<script>", "<!", "<!--", "<title>", "<a href=", "<a href='", '<a b="', "<a b='>\"", "</p", "<", "<p", "&", "<title></title"])
+def test_any_markup_is_linear(opening):
+    page = opening * (1_000_000 // len(opening))
+    began = time.time()
+    W.read_page(page)
+    W.read_page(page + ">")
+    assert time.time() - began < 4
+
+
+class Reader(HTMLParser):
+    """The standard library's parser on well-formed pages, as a second statement of what a page shows."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.links, self.hidden = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in W.HIDDEN
+        if not self.hidden:
+            self.out.append("\n" if tag in W.BREAKS else "")
+            self.links += [v.strip() for k, v in attrs if tag in W.LINKING and k in ("href", "src")][:1]
+
+    def handle_endtag(self, tag):
+        if not self.hidden:
+            self.out.append("\n" if tag in W.BREAKS else "")
+        self.hidden -= tag in W.HIDDEN
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def test_pages_against_the_standard_parser(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    for page in [*pages, PAGE]:
+        other = Reader()
+        other.feed(page or "")
+        other.close()
+        lines = (" ".join(x.split()) for x in "".join(other.out).split("\n"))
+        title, links, text = W.read_page(page or "")
+        assert (links, text) == (other.links, "\n".join(x for x in lines if x))
+        found = re.search(r"<title[^>]*>(.*?)</title>", page or "", re.S)
+        assert title == (" ".join(html.unescape(found[1]).split()) if found else "")
+
+
+def test_a_quoted_bracket_does_not_end_a_tag():
+    assert W.read_page('<a title="a>b" href="/x">t</a><p title=\'>\'>u') == ("", ["/x"], "t\nu")
+    assert W.read_page('<a title="a>t</a> 1 < 2 <b>c')[2] == "t 1 < 2 c"
+
+
+def test_an_unreadable_record_keeps_its_id_and_headers():
+    whole = response(b"", b"<p>ok</p>" * 500, ("WARC-Target-URI", "http://x.example/"))
+    for broken in (whole[:300], gzip.compress(whole)[:-20]):
+        ((kind, headers, info),) = W.derivatives(broken)
+        assert kind == "metadata" and W.get(headers, "WARC-Refers-To") == "<urn:uuid:1>" and W.get(headers, "WARC-Target-URI") == "http://x.example/"
+        assert json.loads(info)["error"] and ["WARC-Target-URI", "http://x.example/"] in json.loads(info)["source-headers"]
+    ((_, headers, info),) = W.derivatives(b"junk")
+    assert json.loads(info)["error"] and W.get(headers, "WARC-Refers-To") is None and W.get(headers, "WARC-Record-ID")
+
+
+def test_files(spark, tmp_path):
+    records = [W.response_record(str(i), f"http://{i}.example/", b"<p>%d</p>" % i, "2024-01-01T00:00:00Z") for i in range(5)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records[:3]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records[3:])) + b"junk")
+    rows = W.build_derivatives(W.read_warc(spark, str(tmp_path)), key="number").collect()
+    assert sorted(W.read_record(bytes(r.derived))[1] for r in rows if r.record_type == "conversion") == [b"0", b"1", b"2", b"3", b"4"]
+    assert sum("error" in json.loads(W.read_record(bytes(r.derived))[1]) for r in rows if r.record_type == "metadata") == 1
