@@ -18,16 +18,21 @@ TEXT = "__gl_text"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that a run of very long texts stays small in a Python worker."""
+    """Arrow batches of few rows, so that a run of very long texts stays small in a Python worker.
+
+    Plans are run after they were made, so the setting stays for the session; other queries get smaller batches, not other results.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one is set only where that is unset, as in tests."""
+    """A fresh folder below spark.checkpoint.dir; a local one is set only where that is unset, in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "gleaner-checkpoints")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
@@ -41,6 +46,11 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_position(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with columns gl0, gl1, ... and their own names, which so cannot clash with any that an operator adds."""
+    return docs.toDF(*[f"gl{i}" for i in range(len(docs.columns))]), docs.columns
+
+
 def counted_side(df: DataFrame, rows: int) -> DataFrame:
     """A join side, stored, that is broadcast only after it was seen to have at most `rows` rows."""
     kept = stored(df, "side")

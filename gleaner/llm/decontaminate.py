@@ -9,13 +9,14 @@ Scale: documents are read once and not shuffled. The automaton is broadcast in b
 words, so what is broadcast is bounded however large the benchmark is; with more than one block each block is one
 pass over the documents, and hits meet in a merge by document.
 
-Defined results: a null or empty text has no words, no hits and is clean; a null or wordless item has no window;
-repeated items count each under its id; repeated document rows are each judged; an empty table gives an empty result.
+Defined results: a null or empty text has no words, no hits and is clean; a null or wordless item has no window; the words of an
+item without an id are hit like any other's, but it is not among the items; items of one id count once; repeated document rows
+are each judged; ties (a word in windows of several items) count for all of them; a very long text is streamed like any
+other; an empty table gives an empty result; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -44,7 +45,7 @@ def words_of(text: bytes) -> list[bytes]:
 class ItemAutomaton:
     """Generalised suffix automaton; for each state the items whose windows end there."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.numbers: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -151,7 +152,7 @@ def item_blocks(
     benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int
 ) -> Iterator[ItemAutomaton]:
     """Automata over the items in turn; each takes items until it has block_words words."""
-    block: list[tuple[str, list[bytes]]] = []
+    block: list[tuple[str | None, list[bytes]]] = []
     size = 0
     for name, body in benchmark.select(benchmark[item_id].cast("string"), benchmark[text]).toLocalIterator():
         words = words_of((body or "").encode())
@@ -160,7 +161,7 @@ def item_blocks(
         if block and size + len(words) > block_words:
             yield ItemAutomaton(block, window)
             block, size = [], 0
-        block.append((name if name is not None else "", words))
+        block.append((name, words))
         size += len(words)
     if block:
         yield ItemAutomaton(block, window)
@@ -192,7 +193,7 @@ def _pass(docs: DataFrame, text: str, keep: list[str], automaton, fields: list[T
                 s, found = auto.hits(words) if auto else ([], ())
                 counts.append(len(words))
                 spans.append([list(x) for x in s])
-                items.append(sorted({auto.names[i] for i in found}) if found else [])
+                items.append(sorted({auto.names[i] for i in found} - {None}) if found else [])
             return [
                 pa.array(counts, pa.int64()),
                 pa.array(spans, pa.list_(pa.list_(pa.int64()))),
@@ -281,23 +282,25 @@ def decontaminate(
     """
     if action not in ("drop", "excise"):
         raise ValueError(action)
-    names, rows, spans = docs.columns, docs, []
+    rows, own = C.by_position(docs)
+    names, spans = rows.columns, []
+    text = names[own.index(text)]
     for i, automaton in enumerate(item_blocks(benchmark, item_id, item_text, window, block_words)):
         rows = C.stored(rows, "block") if i else rows
-        spans.append(f"__gl_spans{i}")
+        spans.append(f"spans{i}")
         rows = _span_pass(rows, text, [*names, *spans[:-1]], automaton, spans[-1])
     if not spans:
         return docs
     if len(spans) > 1:
         rows = C.stored(rows, "block")
-    rows = rows.select(*names, F.concat(*spans).alias("__gl_spans"))
+    rows = rows.select(*names, F.concat(*spans).alias("spans"))
     if action == "drop":
-        judged = C.map_texts(rows, text, [*names, "__gl_spans"], [T.StructField("__gl_n", T.LongType())], _word_count)
-        hit = F.size(F.array_distinct(F.flatten(F.transform("__gl_spans", lambda x: F.sequence(x[0], x[1] - 1)))))
-        hit = F.when(F.size("__gl_spans") > 0, hit).otherwise(0)
-        return judged.filter(~((hit > 0) & (coverage * hit >= F.col("__gl_n")))).select(*names)
+        judged = C.map_texts(rows, text, [*names, "spans"], [T.StructField("n", T.LongType())], _word_count)
+        hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x[0], x[1] - 1)))))
+        hit = F.when(F.size("spans") > 0, hit).otherwise(0)
+        return judged.filter(~((hit > 0) & (coverage * hit >= F.col("n")))).select(*names).toDF(*own)
 
-    return _excise(rows, text, names, coverage)
+    return _excise(rows, text, names, coverage).toDF(*own)
 
 
 def _word_count():
@@ -354,7 +357,3 @@ def _excised(body: bytes, marked: np.ndarray) -> str:
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(find_contamination(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark")))
-
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()

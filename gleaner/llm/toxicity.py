@@ -312,8 +312,7 @@ def in_training_fold(col):
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of the documents that score below the threshold."""
     model = train_model(docs, labels, text=text, train=in_training_fold)
-    names = docs.columns
-    plain = docs.toDF(*[f"gl{i}" for i in range(len(names))])
+    plain, names = C.by_position(docs)
     scored = score_toxicity(plain, model, keep=plain.columns, text=f"gl{names.index(text)}")
     return scored.filter(F.col("score") < threshold).drop("score").toDF(*names)
 
