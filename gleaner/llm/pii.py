@@ -335,7 +335,8 @@ def redact_pii(docs: DataFrame, *, text: str = "text", length: str | None = "n_c
     """
     from pyspark.sql import functions as F
 
-    names = docs.columns
+    rows, names = C.by_position(docs)
+    body = f"gl{names.index(text)}"
 
     def make():
         def work(arr: pa.Array) -> list[pa.Array]:
@@ -347,13 +348,13 @@ def redact_pii(docs: DataFrame, *, text: str = "text", length: str | None = "n_c
 
         return work
 
-    marked = C.map_texts(docs, text, names, [T.StructField("__gl_new", T.StringType())], make)
-    new = F.col("__gl_new")
-    columns = {text: F.coalesce(new, F.col(text))}
+    marked = C.map_texts(rows, body, rows.columns, [T.StructField("new", T.StringType())], make)
+    new = F.col("new")
+    columns = {body: F.coalesce(new, F.col(body))}
     if length in names:
-        kind = docs.schema[length].dataType
-        columns[length] = F.when(new.isNotNull(), F.char_length(new).cast(kind)).otherwise(F.col(length))
-    return marked.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+        size = f"gl{names.index(length)}"
+        columns[size] = F.when(new.isNotNull(), F.char_length(new).cast(rows.schema[size].dataType)).otherwise(F.col(size))
+    return marked.select(*[columns.get(c, F.col(c)) for c in rows.columns]).toDF(*names)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

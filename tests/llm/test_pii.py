@@ -124,3 +124,11 @@ def test_rows_and_redaction(spark):
     assert got[1].text == "[EMAIL] and [IP]" and got[1].n_chars == 16 and got[2].text is None
     assert got[None].text == "hi [EMAIL]!"
     assert P.find_pii(docs.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["__gl_new", "new", "gl0", "gl1", "n_chars"]
+    df = spark.createDataFrame([(1, "mail a@b.org", *range(5)), (2, None, *range(5))], ["doc_id", "text", *names])
+    got = P.redact_pii(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text, r["new"], r.n_chars) for r in got.collect()) == [(1, "mail [EMAIL]", 1, 12), (2, None, 1, 4)]
