@@ -35,5 +35,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not over and not many:
             break
         now = C.stored(_star(_star(now, True), False), "edges")
+    else:
+        raise RuntimeError(f"components not finished after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -327,6 +327,8 @@ def drop_near_duplicates(
     """All columns of docs; one row of each component stays: of the smallest id, nulls last, then of the smallest text hash,
     and of rows that repeat both the smallest in JSON. Rows without a shingle have no component and all stay.
     """
+    docs, names = C.by_position(docs)
+    doc_id, text = (f"gl{names.index(c)}" for c in (doc_id, text))
     found = _linked_rows(docs, doc_id, text, width, num, den, BLOCK, reach, broadcast_rows).filter("root is not null")
     texts = C.stored(found.groupBy("root", "gl_id", "gl_h").agg(F.count("*").alias("copies")), "texts")
     best = texts.groupBy("root").agg(F.min(F.struct(F.col("gl_id").isNull().alias("no_id"), "gl_id", "gl_h")).alias("b"))
@@ -338,11 +340,11 @@ def drop_near_duplicates(
     kept = docs.join(side, match, "left_anti")
     repeated = side.filter("gl_stays")
     if not repeated.limit(1).count():
-        return kept
+        return kept.toDF(*names)
     whole = F.struct(*[docs[c] for c in docs.columns])
     again = docs.join(C.counted_side(repeated, broadcast_rows), match).select("gl_gone", "gl_hash", whole.alias("gl_row"))
     one = again.groupBy("gl_gone", "gl_hash").agg(F.min_by("gl_row", F.to_json("gl_row")).alias("gl_row"))
-    return kept.unionByName(one.select("gl_row.*"))
+    return kept.unionByName(one.select("gl_row.*")).toDF(*names)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

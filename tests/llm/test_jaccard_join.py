@@ -80,7 +80,24 @@ def test_one_row_of_each_component_stays(spark, rows):
     assert ("a", 3, text) in kept and len([k for k in kept if (k[2] or "").startswith("o0 ")]) == 1 and len(kept) == 9
 
 
+def test_clashing_columns_and_a_very_long_text(spark):
+    text = " ".join(f"t{i}" for i in range(100))
+    names = "gl_gone gl_hash gl_stays gl_id gl_h gl_t node root n tokens need copies gl_row gl0 gl1".split()
+    long = " ".join(f"x{i}" for i in range(200_000))
+    rows = [(1, text), (2, text + " more"), (3, long), (4, long + " tail"), (1, text)]
+    df = spark.createDataFrame([(*r, *([7] * len(names))) for r in rows], ["doc_id", "text", *names])
+    kept = J.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert {r.doc_id: r.component_id for r in J.link_documents(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (950, 950)], "a long, b long")
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {i: 0 for i in range(201)} | {900: 900, 901: 900}
+
+
+def test_unfinished_components_are_an_error(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(df, max_rounds=1)
