@@ -24,7 +24,7 @@ import json
 import re
 import unicodedata
 from collections import Counter
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +118,7 @@ class Vocabulary:
                 out.append(np.array(self.words.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
         return out
 
+    @cached_property
     def pieces(self) -> list[bytes]:
         """id -> bytes."""
         table = [b""] * (max(self.ids.values()) + 1)
@@ -230,7 +231,7 @@ def encode_texts(
 
     def make():
         v = vocabulary(vocab.value)
-        encode, pieces = _Joiner(v, table.value), v.pieces()
+        encode, pieces = _Joiner(v, table.value), v.pieces
 
         def work(arr: pa.Array) -> list[pa.Array]:
             n, a, b, ids = [], [], [], []
@@ -266,7 +267,7 @@ def decode_ids(df: DataFrame, ids: str = "ids", out: str = "text", vocabulary_js
 
     @F.pandas_udf("string")
     def decoded(col):
-        pieces = vocabulary(vocab.value).pieces()
+        pieces = vocabulary(vocab.value).pieces
         return col.map(lambda x: None if x is None else decode_bytes(np.asarray(x, np.int64), pieces).decode())
 
     return df.withColumn(out, decoded(df[ids]))

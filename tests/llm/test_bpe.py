@@ -12,7 +12,7 @@ from gleaner.llm import bpe as B
 TEXT = B.default_vocabulary()
 V = B.Vocabulary(TEXT)
 LIB = Tokenizer.from_str(TEXT)
-PIECES = V.pieces()
+PIECES = V.pieces
 
 
 def check(text):
