@@ -1,38 +1,42 @@
-"""Removal of repeated byte strings with a sharded minimiser hash join, its hash keys in a logarithmic family of sorted runs.
+"""Removal of repeated byte strings by sparse suffix arrays in a logarithmic index family.
 
-A byte goes if a string of `length` bytes that covers it also starts in a document of a smaller id. This is not
-the suffix-array form of the method: no suffixes are put in lexicographic order, and no level holds any; the levels hold
-hashes, and all runs of a shard are at hand before its family is built. All suffixes of all texts would be many times the
-input, and sorted suffixes for every offset around the anchors ran beyond the CPU budget (README). Instead places are
-sampled where every string of `length` bytes has one:
+A byte goes if a string of `length` bytes that covers it also starts in a document of a smaller id. A suffix array of
+every byte position would be many times the input, so suffixes are taken where every string of `length` bytes has one:
 
 * Anchors. In each string of `length` bytes the `gram`-byte string with the least hash is an anchor (a minimiser). Equal
   strings have equal anchors at equal places, so a repeated string is found at an anchor that stands in two documents.
-* Chunks and shards. Documents are dealt into chunks of a few MB (the batches), anchors into shards by hash. A chunk
-  sends a shard a run; the shard sorts its runs by key into a logarithmic family of levels: a new run is merged with
-  a level of its size, and the result with the next, so each entry is merged a logarithmic number of times.
-* Round 1. Runs of anchor hashes: which of a chunk's anchors stand elsewhere too. Only hashes move.
-* Round 2. For those anchors the windows around them (`length` - `gram` bytes on either side; distinct ones of the
-  chunk, each with its smallest document) move to the shard. The family holds a 64-bit hash of each whole window with its
-  smallest document. Distinct windows are grouped by the hash of their anchor and compared pairwise in small groups, and
-  by a hash of each string of `length` bytes in large ones, which tells which strings start in a smaller document. Bytes
-  are compared, not only hashes.
-* Round 3. Each chunk maps the answers back to its documents and cuts.
-
-Scale: texts are shuffled once, the exchange is reused by all rounds; a common string is sent once by each chunk.
-All rounds are one plan: no driver-side data but one byte count.
+* Chunks and shards. Documents are dealt into chunks of a few MB, anchors into shards by hash. A first round of hashes tells
+  each chunk which of its anchors stand elsewhere too; only their suffixes are looked at further.
+* Suffix arrays. A record is the suffix at an anchor, `length` bytes of it, then the bytes before the anchor, backwards, and the
+  smallest document that holds it. A shard takes the chunks' records in batches; a batch is sorted by its bytes into a suffix array.
+* Levels. A batch is merge-scanned against each existing level: records of one anchor string are neighbours there, and as far as
+  two agree to the right and to the left, the strings between are in both documents; the larger one is marked. Then the batch
+  becomes a level, and levels of like size merge, equal records into one, so each record is merged a logarithmic number of times.
+* Long runs of neighbours. Up to `paired` records of one anchor are compared pair by pair. In longer runs the common
+  prefixes of neighbours, in suffix order and in the order of the reversed bytes before, number the equal strings at each offset.
+* Hot anchors. The records of an anchor with over `wide` occurrences are split, one for each string of `length` bytes around it, and
+  dealt by the hash of that string; equal strings meet, and no anchor is more than one shard can hold.
+* Last round. Each chunk maps the marks back to its documents and cuts.
+
+Scale: texts are shuffled once, the exchange is reused by all rounds; a common string is sent once by each chunk; all rounds
+are one plan with partitions counted from the input's bytes; no driver-side data but that byte count. Bytes, not hashes,
+decide. `SuffixIndex` keeps the levels as tables: new batches of documents are judged against them and added.
 
 Defined results: a null text is empty; a text shorter than `length` keeps everything; rows of one id do not count against each
-other, whether they repeat or not; rows without an id come after all others and not against each other.
+other, whether they repeat or not; rows without an id come after all others and not against each other, and are dealt by their
+text; a very long text is one row of its chunk; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +51,13 @@ SHARD_ANCHORS = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 BASE = np.uint64(0x9E3779B97F4A7C15)
 U1, U40 = np.uint64(1), np.uint64(40)
-MASK40 = (U1 << U40) - U1
+#: a name in a run: 36 bits of the hash, and 4 bits: how often the chunk has it (as a power of two), or, in answers, whether it is hot
+NAME = (U1 << np.uint64(36)) - U1
+COUNT_BITS = np.uint64(4)
+PAIRED = 12
+BATCH_RECORDS = 1 << 16
+WIDE = 20_000
+SPLIT = 0x80
 
 
 @cache
@@ -107,48 +117,98 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     return np.concatenate(where), np.concatenate(hashes)
 
 
-class LogFamily:
-    """Sorted levels of (key, rank, row): for each key the entry of least rank, and in how many runs it came."""
+def _bytes(rows: np.ndarray) -> np.ndarray:
+    """Each row as one string, which numpy compares by bytes."""
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
+
+
+@dataclass
+class Level:
+    """A sparse suffix array: distinct records by bytes, the smallest document of each, and the offsets marked so far."""
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    rows: np.ndarray
+    doc: np.ndarray
+    mask: np.ndarray
 
-    def add(self, key: np.ndarray, rank: np.ndarray, row: np.ndarray) -> None:
-        """A run, in any order, keys may repeat."""
-        new = self._level(key, rank, row, np.ones(len(key), np.int64), single=True)
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
-            old = self.levels.pop()
-            new = self._level(*(np.concatenate(x) for x in zip(old, new, strict=True)))
+    @staticmethod
+    def of(rows: np.ndarray, doc: np.ndarray, mask: np.ndarray | None = None) -> Level:
+        """Sorts (runs that are sorted already are merged); equal records become one, which keeps the marks of its smallest document."""
+        mask = np.zeros(len(rows), np.uint32) if mask is None else mask
+        if not len(rows):
+            return Level(rows, doc, mask)
+        order = np.argsort(_bytes(rows), kind="stable")
+        rows, doc, mask = rows[order], doc[order], mask[order]
+        head = np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))
+        first = np.flatnonzero(head)
+        least = np.minimum.reduceat(doc, first)
+        own = np.where(doc == least[np.cumsum(head) - 1], mask, 0).astype(np.uint32)
+        return Level(rows[first], least, np.bitwise_or.reduceat(own, first))
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo[0]..hi[0]-1, lo[1]..hi[1]-1, ..."""
+    size = hi - lo
+    return np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+
+
+class LogFamily:
+    """Levels of a geometric family of suffix arrays, the largest first."""
+
+    def __init__(self, length: int, gram: int, paired: int = PAIRED, levels: list[Level] | None = None):
+        self.length, self.gram, self.paired = length, gram, paired
+        self.levels = sorted(levels or [], key=lambda x: -len(x.rows))
+
+    def add(self, rows: np.ndarray, doc: np.ndarray) -> None:
+        """A batch: its suffix array, scanned by itself and against each level, then merged with levels of its size."""
+        new = Level.of(rows, doc)
+        new.mask |= marks(new.rows, new.doc, None, self.length, self.gram, self.paired)
+        for level in self.levels:
+            self.merge_scan(level, new)
+        while self.levels and len(self.levels[-1].rows) <= 2 * len(new.rows):
+            new = self._merged(self.levels.pop(), new)
         self.levels.append(new)
 
     @staticmethod
-    def _level(key, rank, row, runs, single=False):
-        order = np.lexsort((rank, key))
-        key = key[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        runs = np.add.reduceat(runs[order], first) if len(first) else runs[:0]
-        return key[first], rank[order][first], row[order][first], np.ones_like(runs) if single else runs
-
-    def scan(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each key (which some run brought): the row of its least entry, and the number of its runs."""
-        rank, row, runs = np.full(len(key), NO_ID), np.full(len(key), -1), np.zeros(len(key), np.int64)
-        for k, r, w, n in self.levels:
-            at = np.minimum(np.searchsorted(k, key), len(k) - 1)
-            hit = k[at] == key
-            runs += np.where(hit, n[at], 0)
-            better = hit & ((r[at] < rank) | (row < 0))
-            rank, row = np.where(better, r[at], rank), np.where(better, w[at], row)
-        return row, runs
-
-
-def pack40(x: np.ndarray) -> bytes:
-    return (x & MASK40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpack40(raw: bytes) -> np.ndarray:
+    def _merged(a: Level, b: Level) -> Level:
+        return Level.of(*(np.concatenate(x) for x in ((a.rows, b.rows), (a.doc, b.doc), (a.mask, b.mask))))
+
+    def merge_scan(self, old: Level, new: Level) -> None:
+        """Marks both from each other, where they hold records of one anchor string."""
+        if not len(old.rows) or not len(new.rows):
+            return
+        before, now = _bytes(old.rows[:, : self.gram]), _bytes(new.rows[:, : self.gram])
+        edges = np.flatnonzero(np.concatenate(([True], now[1:] != now[:-1], [True])))
+        lo, hi = (np.searchsorted(before, now[edges[:-1]], side) for side in ("left", "right"))
+        met = hi > lo
+        a, b = _spread(lo[met], hi[met]), _spread(edges[:-1][met], edges[1:][met])
+        rows = np.concatenate((old.rows[a], new.rows[b]))
+        if not len(rows):
+            return
+        order = np.argsort(_bytes(rows), kind="stable")
+        fresh = order >= len(a)
+        doc = np.concatenate((old.doc[a], new.doc[b]))[order]
+        found = np.empty(len(rows), np.uint32)
+        found[order] = marks(rows[order], doc, fresh, self.length, self.gram, self.paired)
+        old.mask[a] |= found[: len(a)]
+        new.mask[b] |= found[len(a) :]
+
+    def whole(self) -> Level:
+        """All levels merged into one."""
+        while len(self.levels) > 1:
+            self.levels.append(self._merged(self.levels.pop(), self.levels.pop()))
+        return self.levels[0]
+
+
+def pack(h: np.ndarray, extra: np.ndarray) -> bytes:
+    """Names of hashes with four bits more, five bytes each."""
+    return (((h & NAME) << COUNT_BITS) | extra.astype(np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(raw) // 5, 8), np.uint8)
     out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    both = out.view("<u8").ravel()
+    return both >> COUNT_BITS, (both & np.uint64(15)).astype(np.int64)
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -169,15 +229,14 @@ class Chunk:
         self.doc = np.searchsorted(self.starts, self.where, side="right") - 1
 
     def in_two_documents(self) -> np.ndarray:
-        """Sorted 40-bit hashes that stand in documents of two ids here."""
+        """Sorted hashes that stand in documents of two ids here."""
         h, ids = self.hashes, self.ids[self.doc]
         order = np.lexsort((ids, h))
         h, ids = h[order], ids[order]
         return np.unique(h[1:][(h[1:] == h[:-1]) & (ids[1:] != ids[:-1])])
 
-    def suffixes(self, flagged: np.ndarray):
-        """Of the anchors with a flagged hash: occurrence numbers, their record, and the distinct records with their
-        hash and smallest document. A record is the bytes around the anchor (0 beyond the text) and how many there are."""
+    def records(self, flagged: np.ndarray, hot: np.ndarray) -> Records:
+        """The distinct records at anchors with a flagged hash; those of hot ones split."""
         side, span = self.length - self.gram, 2 * self.length - self.gram
         occ = np.flatnonzero(np.isin(self.hashes, flagged))
         at, doc = self.where[occ], self.doc[occ]
@@ -185,19 +244,63 @@ class Chunk:
         right = np.minimum(self.starts[doc + 1] - at - self.gram, side)
         data = np.frombuffer(bytes(side) + b"".join(self.texts) + bytes(side), np.uint8)
         rows = np.empty((len(occ), span + 2), np.uint8)
-        reach = np.arange(span)
+        reach = np.concatenate((np.arange(side, span), np.arange(side)[::-1]))  # the suffix, then what is before it, backwards
+        away = np.arange(side)
         for i in range(0, len(occ), 50_000):
             s = slice(i, i + 50_000)
             part = data[at[s, None] + reach]
-            part[(reach < (side - left[s])[:, None]) | (reach >= (side + self.gram + right[s])[:, None])] = 0
+            part[:, self.gram : self.length][away >= right[s, None]] = 0
+            part[:, self.length :][away >= left[s, None]] = 0
             rows[s, :span] = part
-        rows[:, span], rows[:, span + 1] = left, right
-        if not len(occ):
-            return occ, occ, rows, self.hashes[:0], self.ids[:0]
-        _, first, record = np.unique(rows.view(f"V{span + 2}").ravel(), return_index=True, return_inverse=True)
-        least = np.full(len(first), NO_ID)
-        np.minimum.at(least, record, self.ids[doc])
-        return occ, record, rows[first], self.hashes[occ][first], least
+        rows[:, span], rows[:, span + 1] = right, left
+        return Records(rows, self.hashes[occ], self.ids[doc], occ, hot, self.length, self.gram)
+
+
+def _distinct(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct row is first, which of them each row is, and their smallest documents."""
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), doc
+    _, first, number = np.unique(_bytes(rows), return_index=True, return_inverse=True)
+    least = np.full(len(first), NO_ID)
+    np.minimum.at(least, number, doc)
+    return first, number, least
+
+
+class Records:
+    """A chunk's distinct records, and what of them is sent: records as they are, and strings of the hot ones."""
+
+    def __init__(self, rows: np.ndarray, hashes: np.ndarray, doc: np.ndarray, occ: np.ndarray, hot: np.ndarray, length: int, gram: int):
+        side, span = length - gram, 2 * length - gram
+        first, self.number, self.least = _distinct(rows, doc)
+        self.occ, self.rows, key = occ, rows[first], hashes[first]
+        split = np.isin(key, hot)
+        self.plain = np.flatnonzero(~split)
+        parts, of, start = [], [], []
+        at = np.flatnonzero(split)
+        for s in range(side + 1 if len(at) else 0):  # the string begins `side - s` bytes before the anchor
+            own = at[(self.rows[at, span] >= s) & (self.rows[at, span + 1] >= side - s)]
+            part = self.rows[own]
+            part[:, gram + s : length] = 0
+            part[:, length + side - s : span] = 0
+            part[:, span], part[:, span + 1] = s, SPLIT | (side - s)
+            parts.append(part)
+            of.append(own)
+            start.append(np.full(len(own), s, np.uint32))
+        self.of, self.start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (of, start))
+        strings = np.concatenate(parts) if parts else self.rows[:0]
+        head, self.string, least = _distinct(strings, self.least[self.of])
+        self.sent = np.concatenate((self.rows[self.plain], strings[head]))
+        self.sent_least = np.concatenate((self.least[self.plain], least))
+        self.key = np.concatenate((key[self.plain], _row_hashes(strings[head])))
+
+    def masks(self, sent: np.ndarray) -> np.ndarray:
+        """Marked offsets of each record from those of what was sent."""
+        out = np.zeros(len(self.rows), np.uint32)
+        out[self.plain] = sent[: len(self.plain)]
+        at = len(self.plain) + self.string
+        bad = (self.least[self.of] > self.sent_least[at]) | (sent[at] >> self.start & 1).astype(bool)
+        np.bitwise_or.at(out, self.of[bad], (np.uint32(1) << self.start[bad].astype(np.uint32)))
+        return out
 
 
 def _by_shard(h: np.ndarray, shards: int):
@@ -219,32 +322,37 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _first_run(length: int, gram: int, shards: int):
-    """Round 1, chunk side: sorted distinct anchor hashes for each shard."""
+    """Round 1, chunk side: sorted distinct anchor hashes for each shard, with their counts."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
-        h = np.unique(Chunk(table, length, gram).hashes)
-        return _table([(s, chunk, pack40(h[at])) for s, at in _by_shard(h, shards)])
+        h, n = np.unique(Chunk(table, length, gram).hashes, return_counts=True)
+        return _table([(s, chunk, pack(h[at], np.minimum(15, np.log2(n[at]).astype(np.int64)))) for s, at in _by_shard(h, shards)])
 
     return run
 
 
-def _first_scan(table: pa.Table) -> pa.Table:
-    """Round 1, shard side: for each chunk those of its hashes that other chunks have too."""
-    runs = [unpack40(x) for x in table["run"].to_pylist()]
-    family = LogFamily()
-    for r in runs:
-        family.add(r, np.zeros(len(r), np.int64), np.zeros(len(r), np.int64))
-    out = []
-    for shard, chunk, r in zip(table["shard"].to_pylist(), table["chunk"].to_pylist(), runs, strict=True):
-        common = r[family.scan(r)[1] > 1]
-        if len(common):
-            out.append((shard, chunk, pack40(common)))
-    return _table(out)
+def _first_scan(wide: int):
+    """Round 1, shard side: for each chunk those of its hashes that other chunks have too, and whether they are hot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        runs = [unpack(x) for x in table["run"].to_pylist()]
+        _, number, times = np.unique(np.concatenate([r for r, _ in runs]), return_inverse=True, return_counts=True)
+        total = np.bincount(number, np.concatenate([2.0**c for _, c in runs]))
+        out, at = [], 0
+        for shard, chunk, (names, _) in zip(table["shard"].to_pylist(), table["chunk"].to_pylist(), runs, strict=True):
+            mine = number[at : at + len(names)]
+            at += len(names)
+            common = times[mine] > 1
+            if common.any() and chunk >= 0:
+                out.append((shard, chunk, pack(names[common], (total[mine] > wide)[common])))
+        return _table(out)
+
+    return run
 
 
 def _second_run(length: int, gram: int, shards: int, fine: int):
-    """Round 2, chunk side: the distinct suffix records of flagged anchors for each of the finer shards, compressed."""
+    """Round 2, chunk side: the records for each of the finer shards, compressed."""
     import zstandard
 
     def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
@@ -252,77 +360,94 @@ def _second_run(length: int, gram: int, shards: int, fine: int):
             return _table([])
         number = docs["chunk"][0].as_py()
         chunk = Chunk(docs, length, gram)
-        _, _, rows, h, least = chunk.suffixes(_flagged(chunk, flags, shards))
+        made = chunk.records(*_flagged(chunk, flags, shards))
         squeeze, out = zstandard.ZstdCompressor(level=3), []
-        for s, at in _by_shard(h, fine):
-            body = rows[at].tobytes() + least[at].astype("<i8").tobytes()
+        for s, at in _by_shard(made.key, fine):
+            body = made.sent[at].tobytes() + made.sent_least[at].astype("<i8").tobytes()
             out.append((s, number, len(at).to_bytes(4, "little") + squeeze.compress(body)))
         return _table(out)
 
     return run
 
 
-def _flagged(chunk: Chunk, flags: pa.Table, shards: int) -> np.ndarray:
-    """Hashes of the chunk that stand in two documents, here or anywhere."""
+def _flagged(chunk: Chunk, flags: pa.Table, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the chunk that stand in two documents, here or anywhere; and the hot ones among them."""
     own = np.unique(chunk.hashes)
-    named = own & MASK40
-    marked = np.isin(own, chunk.in_two_documents())
-    sent: dict[int, list[np.ndarray]] = {}
+    marked, hot = np.isin(own, chunk.in_two_documents()), np.zeros(len(own), bool)
+    sent: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for s, r in zip(flags["shard"].to_pylist(), flags["run"].to_pylist(), strict=True):
-        sent.setdefault(s, []).append(unpack40(r))
+        sent.setdefault(s, []).append(unpack(r))
     for s, at in _by_shard(own, shards):
-        if s in sent:
-            marked[at] |= np.isin(named[at], np.concatenate(sent[s]))
-    return own[marked]
+        for names, extra in sent.get(s, ()):
+            marked[at] |= np.isin(own[at] & NAME, names)
+            hot[at] |= np.isin(own[at] & NAME, names[extra > 0])
+    return own[marked], own[hot]
 
 
-def _second_scan(length: int, gram: int, paired: int):
-    """Round 2, shard side: for each record a bit for each offset at which its string starts in a smaller document.
+def _unpacked(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
 
-    The family first finds the smallest document of each distinct record. Distinct records of one anchor string are then
-    neighbours in suffix order: in groups of up to `paired` all pairs are extended left and right as far as they agree;
-    in larger groups each offset's strings are sorted.
-    """
+    n = int.from_bytes(raw[:4], "little")
+    body = zstandard.ZstdDecompressor().decompress(raw[4:])
+    return np.frombuffer(body, np.uint8, n * width).reshape(n, width), np.frombuffer(body, "<i8", n, n * width)
+
+
+def judged(family: LogFamily, sent: list[tuple[np.ndarray, np.ndarray]], batch_records: int) -> list[np.ndarray]:
+    """Takes what each chunk sent (records, documents) into the family batch by batch; the marks of each record of each chunk."""
+    rows, doc, size = [], [], 0
+    for r, d in sent:
+        rows.append(r)
+        doc.append(d)
+        size += len(r)
+        if size >= batch_records:
+            family.add(np.concatenate(rows), np.concatenate(doc))
+            rows, doc, size = [], [], 0
+    if size:
+        family.add(np.concatenate(rows), np.concatenate(doc))
+    if not family.levels:
+        return [np.zeros(0, np.uint32) for _ in sent]
+    whole = family.whole()
+    names, out, side = _bytes(whole.rows), [], family.length - family.gram
+    for r, d in sent:
+        at = np.searchsorted(names, _bytes(r))
+        out.append(np.where(d > whole.doc[at], offsets_mask(r[:, -1], r[:, -2], side), whole.mask[at]).astype(np.uint32))
+    return out
+
+
+def _second_scan(length: int, gram: int, paired: int, batch_records: int):
+    """Round 2, shard side: for each record a bit for each offset at which its string starts in a smaller document."""
     import zstandard
 
-    side, span = length - gram, 2 * length - gram
+    width = 2 * length - gram + 2
 
-    def run(table: pa.Table) -> pa.Table:
-        rows, docs, sizes = [], [], []
-        for raw in table["run"].to_pylist():
-            n = int.from_bytes(raw[:4], "little")
-            body = zstandard.ZstdDecompressor().decompress(raw[4:])
-            rows.append(np.frombuffer(body, np.uint8, n * (span + 2)).reshape(n, span + 2))
-            docs.append(np.frombuffer(body, "<i8", n, n * (span + 2)))
-            sizes.append(n)
-        data, doc = np.concatenate(rows), np.concatenate(docs)
-        bounds = np.concatenate(([0], np.cumsum(sizes)))
-        leader = _leaders(data, doc, bounds)
-        own = np.flatnonzero(leader == np.arange(len(data)))
-        left, right = data[:, span], data[:, span + 1]
-        found = np.zeros(len(data), np.uint32)
-        grams = gram_hashes_rows(data[:, side : side + gram])
-        found[own] = _distinct_masks(data[own], doc[own], grams[own], length, gram, paired)
-        mask = np.where(doc > doc[leader], offsets_mask(left.astype(np.int64), right.astype(np.int64), side), found[leader])
+    def run(table: pa.Table, stored: pa.Table | None = None) -> pa.Table:
+        levels = stored_levels(stored, width) if stored is not None else []
+        sent = [_unpacked(raw, width) for raw in table["run"].to_pylist()]
+        found = judged(LogFamily(length, gram, paired, levels), sent, batch_records)
         out = []
-        for i, (shard, chunk) in enumerate(zip(table["shard"].to_pylist(), table["chunk"].to_pylist(), strict=True)):
-            s = slice(bounds[i], bounds[i + 1])
-            h = np.unique(grams[s])
-            body = len(h).to_bytes(4, "little") + h.astype("<u8").tobytes() + mask[s].astype("<u4").tobytes()
+        for shard, chunk, (rows, _), mask in zip(table["shard"].to_pylist(), table["chunk"].to_pylist(), sent, found, strict=True):
+            split = rows[:, -1] >= SPLIT
+            h = [np.unique(gram_hashes_rows(rows[x, :gram])) for x in (~split, split)]
+            body = b"".join(len(x).to_bytes(4, "little") for x in h) + b"".join(x.astype("<u8").tobytes() for x in h) + mask.astype("<u4").tobytes()
             out.append((shard, chunk, zstandard.ZstdCompressor(level=1).compress(body)))
         return _table(out)
 
     return run
 
 
-PAIRED = 12
+def stored_levels(stored: pa.Table, width: int) -> list[Level]:
+    """The levels among rows (level, record, doc)."""
+    number = stored["level"].to_numpy()
+    rows = np.frombuffer(b"".join(stored["record"].to_pylist()), np.uint8).reshape(-1, width)
+    doc = stored["doc"].to_numpy().astype(np.int64)
+    return [Level.of(rows[number == k], doc[number == k]) for k in np.unique(number).tolist()]
 
 
 def offsets_mask(left: np.ndarray, right: np.ndarray, side: int) -> np.ndarray:
     """Bits of the offsets s whose string takes side - s <= left bytes before the anchor and s <= right after it."""
+    left, right = left.astype(np.int64) & (SPLIT - 1), right.astype(np.int64)
     low, high = side - left, np.minimum(right, side)
-    one = np.uint64(1)
-    bits = (one << (high + 1).astype(np.uint64)) - (one << low.astype(np.uint64))
+    bits = (U1 << (high + 1).astype(np.uint64)) - (U1 << low.astype(np.uint64))
     return np.where(low <= high, bits, 0).astype(np.uint32)
 
 
@@ -333,54 +458,68 @@ def _row_hashes(data: np.ndarray) -> np.ndarray:
     return C.mix64(key)
 
 
-def _leaders(data: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each record the row of an equal one of the smallest document."""
-    key, row, family = _row_hashes(data), np.arange(len(data)), LogFamily()
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        if lo < hi:
-            family.add(key[lo:hi], doc[lo:hi], row[lo:hi])
-    leader, _ = family.scan(key)
-    if (data == data[leader]).all():
-        return leader
-    _, first, group = np.unique(np.ascontiguousarray(data).view(f"V{data.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    order = np.lexsort((doc, group))  # two records share a hash: decide by the bytes
-    heads = order[np.concatenate(([True], np.diff(group[order]) > 0))]
-    return heads[group]
+def _agreement(same: np.ndarray) -> np.ndarray:
+    """How many columns agree before the first that does not."""
+    return np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
 
 
-def _distinct_masks(data: np.ndarray, doc: np.ndarray, grams: np.ndarray, length: int, gram: int, paired: int) -> np.ndarray:
+def marks(rows: np.ndarray, doc: np.ndarray, fresh: np.ndarray | None, length: int, gram: int, paired: int) -> np.ndarray:
+    """Of sorted records: the offsets at which each one's string is also around a record of a smaller document.
+
+    fresh tells two suffix arrays apart that were merged; pairs inside one of them were compared before.
+    """
     side, span = length - gram, 2 * length - gram
-    found = np.zeros(len(data), np.uint32)
-    order = np.argsort(grams, kind="stable")
-    g = grams[order]
-    edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))) if len(g) else np.zeros(1, np.int64)
+    found = np.zeros(len(rows), np.uint32)
+    if len(rows) < 2:
+        return found
+    head = np.concatenate(([True], (rows[1:, :gram] != rows[:-1, :gram]).any(axis=1)))
+    edges = np.append(np.flatnonzero(head), len(rows))
     size = np.repeat(np.diff(edges), np.diff(edges))
-    place = np.arange(len(g)) - np.repeat(edges[:-1], np.diff(edges))
+    place = np.arange(len(rows)) - np.repeat(edges[:-1], np.diff(edges))
     small = size <= paired
-    for lag in range(1, paired):
+    for lag in range(1, min(paired, int(size[small].max(initial=1)))):
         at = np.flatnonzero(small & (place + lag < size))
+        at = at[fresh[at] != fresh[at + lag]] if fresh is not None else at
+        at = at[doc[at] != doc[at + lag]]
         for i in range(0, len(at), 50_000):
-            a, b = order[at[i : i + 50_000]], order[at[i : i + 50_000] + lag]
-            same = data[a, :span] == data[b, :span]
-            before, after = ~same[:, :side][:, ::-1], ~same[:, side + gram :]
-            agree = same[:, side : side + gram].all(axis=1)
-            lead = np.where(before.any(axis=1), before.argmax(axis=1), side)
-            r = np.where(after.any(axis=1), after.argmax(axis=1), side)
-            lead = np.minimum(lead, np.minimum(data[a, span], data[b, span]))
-            r = np.minimum(r, np.minimum(data[a, span + 1], data[b, span + 1]))
-            mask = np.where(agree, offsets_mask(lead, r, side), 0).astype(np.uint32)
-            # of one anchor string a record can meet the other once only, so plain indexing loses nothing
+            a = at[i : i + 50_000]
+            b = a + lag
+            right = np.minimum(_agreement(rows[a, gram:length] == rows[b, gram:length]), np.minimum(rows[a, span], rows[b, span]))
+            left = np.minimum(_agreement(rows[a, length:span] == rows[b, length:span]), np.minimum(rows[a, span + 1], rows[b, span + 1]) & (SPLIT - 1))
+            mask = offsets_mask(left, right, side)
+            # a record meets another at one lag only, so plain indexing loses nothing
             found[a] |= np.where(doc[b] < doc[a], mask, 0).astype(np.uint32)
             found[b] |= np.where(doc[a] < doc[b], mask, 0).astype(np.uint32)
-    many = order[~small]
+    many = np.flatnonzero(~small)
     if len(many):
-        rows, left, right = data[many], data[many, span].astype(np.int64), data[many, span + 1].astype(np.int64)
-        for start in range(side + 1):  # the string begins `side - start` bytes before the anchor
-            valid = np.flatnonzero((left >= side - start) & (right >= start))
-            if len(valid):
-                text = rows[valid, start : start + length]
-                earlier = _earlier(_row_hashes(text), doc[many][valid], text)
-                found[many[valid]] |= earlier.astype(np.uint32) << np.uint32(start)
+        found[many] = _marks_of_runs(rows[many], doc[many], head[many], length, gram)
+    return found
+
+
+def _marks_of_runs(rows: np.ndarray, doc: np.ndarray, head: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The same for long runs: at each offset, records with equal bytes on both sides have one number on each."""
+    side, span = length - gram, 2 * length - gram
+    found = np.zeros(len(rows), np.uint32)
+    right, left = rows[:, span].astype(np.int64), rows[:, span + 1].astype(np.int64) & (SPLIT - 1)
+    after = np.concatenate(([-1], _agreement(rows[1:, gram:length] == rows[:-1, gram:length])))
+    after[head] = -1
+    group = np.cumsum(head)
+    back = np.argsort(_bytes(np.hstack((group.astype(">u4").view(np.uint8).reshape(-1, 4), rows[:, length:span]))), kind="stable")
+    turned = rows[back, length:span]
+    before = np.concatenate(([-1], _agreement(turned[1:] == turned[:-1])))
+    before[1:][group[back][1:] != group[back][:-1]] = -1
+    number = np.empty(len(rows), np.int64)
+    for s in range(side + 1):  # the string begins `side - s` bytes before the anchor
+        valid = np.flatnonzero((right >= s) & (left >= side - s))
+        if not len(valid):
+            continue
+        number[back] = np.cumsum(before < side - s)
+        key, d = (np.cumsum(after < s) * (len(rows) + 1) + number)[valid], doc[valid]
+        order = np.lexsort((d, key))
+        first = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+        least = d[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+        earlier = valid[order[least < d[order]]]
+        found[earlier] |= np.uint32(1 << s)
     return found
 
 
@@ -393,20 +532,6 @@ def gram_hashes_rows(rows: np.ndarray) -> np.ndarray:
     return C.mix64(total)
 
 
-def _earlier(key: np.ndarray, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each string (by its hash): does it stand in a smaller document?"""
-    order = np.lexsort((doc, key))
-    head = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    least = np.empty(len(key), np.int64)
-    least[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
-    if (text == text[least]).all():
-        return doc[least] < doc
-    _, group = np.unique(np.ascontiguousarray(text).view(f"V{text.shape[1]}").ravel(), return_inverse=True)
-    low = np.full(group.max() + 1, NO_ID)  # two strings share a hash: decide by the bytes
-    np.minimum.at(low, group, doc)
-    return low[group] < doc
-
-
 def _third(length: int, gram: int, shards: int, with_spans: bool):
     """Round 3: the answers become removed bytes of documents."""
     import zstandard
@@ -418,28 +543,29 @@ def _third(length: int, gram: int, shards: int, with_spans: bool):
         return _cut(chunk, _removed(chunk, answers))
 
     def _removed(chunk: Chunk, answers: pa.Table) -> np.ndarray:
-        hashes, masks = [], {}
+        hashes, hot, masks = [], [], {}
         for s, raw in zip(answers["shard"].to_pylist(), answers["run"].to_pylist(), strict=True):
             body = zstandard.ZstdDecompressor().decompress(raw)
-            n = int.from_bytes(body[:4], "little")
-            hashes.append(np.frombuffer(body, "<u8", n, 4))
-            masks[s] = np.frombuffer(body, "<u4", -1, 4 + 8 * n)
+            n, m = np.frombuffer(body, "<u4", 2).tolist()
+            hashes.append(np.frombuffer(body, "<u8", n + m, 8))
+            hot.append(hashes[-1][n:])
+            masks[s] = np.frombuffer(body, "<u4", -1, 8 + 8 * (n + m))
         change = np.zeros(int(chunk.starts[-1]) + 1, np.int32)
         if hashes:
-            occ, record, _, h, least = chunk.suffixes(np.concatenate(hashes))
-            mask = np.zeros(len(h), np.uint32)
-            for s, at in _by_shard(h, shards):
-                mask[at] = masks[s]
-            at, doc = chunk.where[occ], chunk.doc[occ]
+            made = chunk.records(np.concatenate(hashes), np.concatenate(hot))
+            sent = np.zeros(len(made.sent), np.uint32)
+            for s, at in _by_shard(made.key, shards):
+                sent[at] = masks[s]
+            at, doc = chunk.where[made.occ], chunk.doc[made.occ]
             side = length - gram
-            first = least[record] == chunk.ids[doc]
+            every = offsets_mask(made.rows[:, -1], made.rows[:, -2], side)
+            # a document with the same record as a smaller one repeats it at every offset
+            later = chunk.ids[doc] > made.least[made.number]
+            mask = np.where(later, every[made.number], made.masks(sent)[made.number])
             for start in range(side + 1):
-                begin = at - side + start
-                fits = (begin >= chunk.starts[doc]) & (begin + length <= chunk.starts[doc + 1])
-                # a document with the same record as a smaller one repeats it at every offset
-                bad = fits & (~first | ((mask[record] >> np.uint32(start)) & np.uint32(1)).astype(bool))
-                np.add.at(change, begin[bad], 1)
-                np.add.at(change, begin[bad] + length, -1)
+                begin = at[(mask >> np.uint32(start) & 1).astype(bool)] - side + start
+                np.add.at(change, begin, 1)
+                np.add.at(change, begin + length, -1)
         return np.cumsum(change)[:-1] > 0
 
     def _empty() -> pa.Table:
@@ -468,6 +594,40 @@ NAMES = ["gl_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
 TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
 
 
+def _dealt(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int, length: int, gram: int, shard_anchors: int):
+    """Documents by chunk; and the number of shards that their anchors fill."""
+    if not 0 < length - gram < 32:
+        raise ValueError("length - gram must be 1 to 31")
+    source = docs.select(docs[doc_id].cast("long").alias("gl_id"), docs[text].cast("string").alias("gl_t"))
+    total = source.agg(F.sum(F.octet_length("gl_t"))).first()[0] or 0
+    chunks = max(1, -(-total // chunk_bytes))
+    spread = F.pmod(F.xxhash64("gl_id", "gl_t"), F.lit(chunks)).cast("long")
+    density = 2 / (length - gram + 2)
+    return source.withColumn("chunk", spread).repartition(chunks, "chunk"), max(1, round(total * density / shard_anchors))
+
+
+def _judge(dealt: DataFrame, shards: int, length: int, gram: int, paired: int, wide: float, batch_records: int, with_spans: bool, index: DataFrame | None = None) -> DataFrame:
+    """All rounds. index: rows (key, level, record, doc) of stored levels."""
+    fine = shards * 4  # round 2: fewer, larger records
+    by_chunk = dealt.groupBy("chunk")
+    sent = by_chunk.applyInArrow(_first_run(length, gram, shards), SENT)
+    if index is not None:
+        sent = sent.unionByName(_index_runs(index, shards))
+    flags = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_first_scan(wide), SENT)
+    records = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(_second_run(length, gram, shards, fine), SENT)
+    met = records.repartition(2 * shards, "shard").groupBy("shard")
+    scan = _second_scan(length, gram, paired, batch_records)
+    if index is None:
+        answers = met.applyInArrow(lambda t: scan(t), SENT)
+    else:
+        shard = F.pmod(F.shiftrightunsigned("key", 40), F.lit(fine)).alias("shard")
+        kept = index.select(shard, "level", "record", "doc").repartition(2 * shards, "shard")
+        answers = met.cogroup(kept.groupBy("shard")).applyInArrow(lambda t, u: scan(t, u) if t.num_rows else _table([]), SENT)
+    kind = [T.LongType()] * 4 + [T.StringType(), T.ArrayType(T.ArrayType(T.LongType()))]
+    schema = T.StructType([T.StructField(n, t) for n, t in list(zip(NAMES, kind, strict=True))[: 6 if with_spans else 5]])
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_third(length, gram, fine, with_spans), schema)
+
+
 def remove_repeats(
     docs: DataFrame,
     *,
@@ -478,29 +638,88 @@ def remove_repeats(
     chunk_bytes: int = CHUNK_BYTES,
     shard_anchors: int = SHARD_ANCHORS,
     paired: int = PAIRED,
+    wide: int = WIDE,
+    batch_records: int = BATCH_RECORDS,
     with_spans: bool = True,
 ) -> DataFrame:
     """Per document row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, spans (byte positions, end exclusive)."""
-    if not 0 < length - gram < 32:
-        raise ValueError("length - gram must be 1 to 31")
-    source = docs.select(docs[doc_id].cast("long").alias("gl_id"), docs[text].cast("string").alias("gl_t"))
-    total = source.agg(F.sum(F.octet_length("gl_t"))).first()[0] or 0
-    chunks = max(1, -(-total // chunk_bytes))
-    density = 2 / (length - gram + 2)
-    shards = max(1, round(total * density / shard_anchors))
-    fine = max(1, shards * 4)  # round 2: fewer, larger records
-    spread = F.pmod(F.xxhash64("gl_id"), F.lit(chunks)).cast("long")
-    dealt = source.withColumn("chunk", spread).repartition(chunks, "chunk")
-    by_chunk = dealt.groupBy("chunk")
-    sent = by_chunk.applyInArrow(_first_run(length, gram, shards), SENT)
-    flags = sent.groupBy("shard").applyInArrow(_first_scan, SENT)
-    records = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(_second_run(length, gram, shards, fine), SENT)
-    answers = records.groupBy("shard").applyInArrow(_second_scan(length, gram, paired), SENT)
-    kind = [T.LongType()] * 4 + [T.StringType(), T.ArrayType(T.ArrayType(T.LongType()))]
-    schema = T.StructType([T.StructField(n, t) for n, t in list(zip(NAMES, kind, strict=True))[: 6 if with_spans else 5]])
-    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_third(length, gram, fine, with_spans), schema)
+    dealt, shards = _dealt(docs, doc_id, text, chunk_bytes, length, gram, shard_anchors)
+    out = _judge(dealt, shards, length, gram, paired, wide, batch_records, with_spans)
     return out.withColumnRenamed("gl_id", doc_id)
 
 
+def _index_runs(index: DataFrame, shards: int) -> DataFrame:
+    """Stored anchors as one more run of each shard, which asks for no answer."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h = np.unique(table["key"].to_numpy().astype(np.int64).view(np.uint64))
+        return _table([(s, -1, pack(h[at], np.zeros(len(at), np.int64))) for s, at in _by_shard(h, shards)])
+
+    shard = F.pmod(F.shiftrightunsigned("key", 40), F.lit(shards)).alias("shard")
+    return index.select(shard, "key").distinct().repartition(shards, "shard").groupBy("shard").applyInArrow(run, SENT)
+
+
+class SuffixIndex:
+    """A family that outlives a run: its levels are tables of sorted records below `folder`, the list of them a table too.
+
+    A batch is judged against all documents of smaller ids that the index holds and among its own; answers about earlier batches
+    stay as they were given, so batches in order of ids give what one run over all would. A row that is added twice stands once.
+    All anchors of all documents are kept (about six times the text, before compression). Hot anchors are not split here.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, *, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, shard_anchors: int = SHARD_ANCHORS):
+        self.spark, self.folder, self.length, self.gram = spark, folder.rstrip("/"), length, gram
+        self.chunk_bytes, self.shard_anchors = chunk_bytes, shard_anchors
+
+    def levels(self) -> list[tuple[str, int]]:
+        """(path, records) of the levels, the largest first."""
+        try:
+            listed = self.spark.read.parquet(f"{self.folder}/list")
+        except AnalysisException:  # nothing was added yet
+            return []
+        last = listed.agg(F.max("version")).first()[0]
+        rows = listed.filter(F.col("version") == last).collect()  # a logarithmic number
+        return sorted(((r.path, r.records) for r in rows), key=lambda x: -x[1])
+
+    def _version(self) -> int:
+        try:
+            return self.spark.read.parquet(f"{self.folder}/list").agg(F.max("version")).first()[0] + 1
+        except AnalysisException:
+            return 0
+
+    def _records(self, dealt: DataFrame) -> DataFrame:
+        length, gram = self.length, self.gram
+
+        def run(table: pa.Table) -> pa.Table:
+            chunk = Chunk(table, length, gram)
+            made = chunk.records(np.unique(chunk.hashes), chunk.hashes[:0])
+            return pa.table({"key": pa.array(made.key.view(np.int64)), "record": pa.array(list(map(bytes, made.sent)), pa.binary()), "doc": pa.array(made.least)})
+
+        return dealt.groupBy("chunk").applyInArrow(run, "key long, record binary, doc long")
+
+    def _write(self, records: DataFrame) -> tuple[str, int]:
+        path = f"{self.folder}/level-{uuid.uuid4().hex}"
+        one = records.groupBy("key", "record").agg(F.min("doc").alias("doc"))
+        one.repartition("key").sortWithinPartitions("record").write.parquet(path)
+        return path, self.spark.read.parquet(path).count()
+
+    def add(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", paired: int = PAIRED, batch_records: int = BATCH_RECORDS, with_spans: bool = True) -> DataFrame:
+        """The rows of remove_repeats for the batch, stored; then the batch is a level, and levels of like size are merged."""
+        found = self.levels()
+        dealt, shards = _dealt(docs, doc_id, text, self.chunk_bytes, self.length, self.gram, self.shard_anchors)
+        index = None
+        for i, (path, n) in enumerate(found):
+            level = self.spark.read.parquet(path).select("key", F.lit(i).alias("level"), "record", "doc")
+            index = level if index is None else index.unionByName(level)
+            shards = max(shards, round(n / self.shard_anchors))
+        out = C.stored(_judge(dealt, shards, self.length, self.gram, paired, float("inf"), batch_records, with_spans, index), "batch")
+        new = self._write(self._records(dealt))
+        while found and found[-1][1] <= 2 * new[1]:
+            new = self._write(self.spark.read.parquet(found.pop()[0]).unionByName(self.spark.read.parquet(new[0])))
+        rows = [(self._version(), *x) for x in [*found, new]]
+        self.spark.createDataFrame(rows, "version long, path string, records long").coalesce(1).write.mode("append").parquet(f"{self.folder}/list")
+        return out.withColumnRenamed("gl_id", doc_id)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(C.read(spark, sf_dir, "documents"), with_spans=False)
