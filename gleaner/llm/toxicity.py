@@ -1,17 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become classes: insult, threat, target, negation, report or other. The insult acceptor is a weighted trie of word
-stems: a seed list, and stems learned from labelled rows (log odds as weight). Small transducers for negation scope,
-reported speech and targets are composed into one automaton over word classes; it marks every insult or threat with
-the context it stands in. A document's score is a logistic model over what its clauses held: asserted, negated and
-reported insults, insults and threats that have a target in their clause, and, beside these clause features, the weight, count and
-density of all entries of the lexicon that occur often enough, whatever clause or negation they stand in.
-
-Scale: scoring is one pass, no shuffle. Stems and model are fitted on the driver on at most `sample` labelled rows of
-each class (those with the smallest hash of the id), the class shares come from all training labels.
+stems: a seed list, and stems learned from labelled rows (log odds as weight). Small transducers for insults, threats (a threat
+and a target within a few words, in either order), targets, negation scope and reported speech are composed into one
+automaton over word classes; it marks every match with the context it stands in. A document's score is a logistic
+model over its matched clauses alone: asserted insults, with their weight, their density and how many reach the count that
+their entry takes; negated and reported ones, each by themselves; insults in a clause with a target; and threats. A
+denied or reported insult adds nothing to what asserted ones count.
+
+Scale: scoring is one pass, no shuffle. The model is fitted on at most `sample` labelled rows of each class (those with the
+smallest hash of the id); the executors count stems and make features, the driver gets at most CANDIDATES stems and a few
+numbers for each row of the sample, no texts. The class shares come from all training labels. A learned entry stands in
+MIN_TOXIC toxic rows of the sample or more, has a gain (rows times log odds) above MIN_GAIN, and at most MAX_STEMS are taken.
 
 Defined results: a null or empty text has no clauses and gets the model's base score; without labels of both classes
-the seed list and default weights hold; repeated rows are each scored; labels of null ids are ignored.
+the seed list and default weights hold; repeated rows are each scored, and learned from once; labels of null ids are ignored;
+a very long text is one text like any other; ties between stems go to the later one in order; an empty table gives an empty
+result; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ SAMPLE = 3000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 STEM_LENGTHS = range(4, 9)
+MIN_TOXIC, MIN_GAIN, MAX_STEMS, CANDIDATES = 6, 30.0, 400, 20_000
 
 #: Seed words of the grammar in four languages.
 INSULTS = """idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown imbecile
@@ -66,8 +72,8 @@ class Transducer:
         return (0, 0) if kind == END else self.table.get((state, kind), self.default[state])
 
 
-NEGATED, REPORTED, TARGETED = 1, 2, 4
-SCOPE = 4
+NEGATED, REPORTED, TARGETED, INSULTED, THREATENED = 1, 2, 4, 8, 16
+SCOPE, NEAR = 4, 3
 NEGATION_SCOPE = Transducer(
     SCOPE + 1,
     {(s, NEGATION): (SCOPE, 0) for s in range(SCOPE + 1)},
@@ -75,6 +81,14 @@ NEGATION_SCOPE = Transducer(
 )
 REPORTED_SPEECH = Transducer(2, {(0, REPORT): (1, 0), (1, REPORT): (1, 0)}, {0: (0, 0), 1: (1, REPORTED)})
 AIMED = Transducer(2, {(0, TARGET): (1, TARGETED), (1, TARGET): (1, TARGETED)}, {0: (0, 0), 1: (1, TARGETED)})
+INSULTS_NAMED = Transducer(1, {(0, INSULT): (0, INSULTED)}, {0: (0, 0)})
+#: states 1 to NEAR: a threat that many words from lapsing; NEAR + 1 and above: a target likewise. The second of the two marks
+THREATS_AIMED = Transducer(
+    2 * NEAR + 1,
+    {(s, THREAT): (NEAR, THREATENED if s > NEAR else 0) for s in range(2 * NEAR + 1)}
+    | {(s, TARGET): (2 * NEAR, THREATENED if 0 < s <= NEAR else 0) for s in range(2 * NEAR + 1)},
+    {s: (0 if s in (0, 1, NEAR + 1) else s - 1, 0) for s in range(2 * NEAR + 1)},
+)
 
 
 def compose(parts: list[Transducer]) -> list[list[tuple[int, int]]]:
@@ -94,7 +108,7 @@ def compose(parts: list[Transducer]) -> list[list[tuple[int, int]]]:
     return table
 
 
-GRAMMAR = compose([NEGATION_SCOPE, REPORTED_SPEECH, AIMED])
+GRAMMAR = compose([NEGATION_SCOPE, REPORTED_SPEECH, AIMED, INSULTS_NAMED, THREATS_AIMED])
 FEATURES = ("asserted", "repeated", "negated", "reported", "aimed", "threats", "density", "weight")
 
 
@@ -158,27 +172,25 @@ def features(codes: np.ndarray, entries: list[tuple[float, int]]) -> np.ndarray:
     hot = np.flatnonzero((codes >= 10) | (codes == THREAT))
     clauses = np.unique(np.searchsorted(bounds, hot, side="right") - 1)
     count: Counter[int] = Counter()
-    asserted = negated = reported = aimed = threats = 0
+    negated = reported = aimed = threats = 0
     for c in clauses.tolist():
         state, held, target = 0, [], False
         for code in codes[bounds[c] : bounds[c + 1]].tolist():
-            kind = INSULT if code >= 10 else code
-            state, marks = GRAMMAR[state][kind]
+            state, marks = GRAMMAR[state][INSULT if code >= 10 else code]
             target |= bool(marks & TARGETED)
-            if kind in (INSULT, THREAT):
-                held.append((code, kind, marks))
-        for code, kind, marks in held:
-            if kind == THREAT:
-                threats += target and not marks & (NEGATED | REPORTED)
-                continue
-            count[code - 10] += 1
-            aimed += target
+            if marks & (INSULTED | THREATENED):
+                held.append((code, marks))
+        for code, marks in held:
             if marks & NEGATED:
                 negated += 1
             elif marks & REPORTED:
                 reported += 1
+            elif marks & INSULTED:
+                count[code - 10] += 1
+                aimed += target
             else:
-                asserted += 1
+                threats += 1
+    asserted = count.total()
     enough = [e for e, n in count.items() if n >= entries[e][1]]
     weight = sum(entries[e][0] for e in enough)
     n_words = max(1, len(codes) - len(ends))
@@ -191,48 +203,77 @@ def features(codes: np.ndarray, entries: list[tuple[float, int]]) -> np.ndarray:
     )
 
 
-def learn_stems(texts: list[str], toxic: list[int], clean_weight: float) -> Lexicon:
+def stem_counts(text: str) -> Counter[str]:
+    """How often each whole word (with $) and each stem of it stands in a text."""
+    seen: Counter[str] = Counter()
+    for token, n in Counter(tokens(text)).items():
+        word = re.sub(r"^[\W_]+|[\W_]+$", "", token.decode())
+        if len(word) >= STEM_LENGTHS[0]:
+            seen[word + "$"] += n
+            for k in STEM_LENGTHS:
+                if k <= len(word):
+                    seen[word[:k]] += n
+    return seen
+
+
+def count_stems(sample: DataFrame) -> DataFrame:
+    """sample (y, t) -> stem, and in how many toxic and clean rows it stands once or more (t1, c1) and twice or more (t2, c2)."""
+
+    def run(batches):
+        for b in batches:
+            found: dict[str, list[int]] = {}
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for s, n in stem_counts(text or "").items():
+                    row = found.setdefault(s, [0, 0, 0, 0])
+                    row[1 - label] += 1
+                    row[3 - label] += n > 1
+            columns = list(zip(*found.values(), strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["stem", "t1", "c1", "t2", "c2"])
+
+    made = sample.select("y", "t").mapInArrow(run, "stem string, t1 long, c1 long, t2 long, c2 long")
+    return made.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("t1", "c1", "t2", "c2")])
+
+
+def learn_stems(counts: DataFrame, n_toxic: int, n_clean: int, clean_weight: float) -> Lexicon:
     """Whole words and stems whose presence, or repeated presence, marks the toxic rows of the sample."""
-    found: dict[str, list[int]] = {}
-    for text, label in zip(texts, toxic, strict=True):
-        seen: Counter[str] = Counter()
-        for token, n in Counter(tokens(text)).items():
-            word = re.sub(r"^[\W_]+|[\W_]+$", "", token.decode())
-            if len(word) >= STEM_LENGTHS[0]:
-                seen[word + "$"] += n
-                for k in STEM_LENGTHS:
-                    if k <= len(word):
-                        seen[word[:k]] += n
-        for s, n in seen.items():
-            row = found.setdefault(s, [0, 0, 0, 0])
-            row[1 - label] += 1
-            row[3 - label] += n > 1
-    n_toxic = sum(toxic)
-    n_clean = (len(toxic) - n_toxic) * clean_weight
-    scored = []
-    for s, (t1, c1, t2, c2) in found.items():
-        for t, c, needs in ((t1, c1 * clean_weight, 1), (t2, c2 * clean_weight, 2)):
-            if t >= 6 and t > 2.0 * c:
-                p, q = t / max(1, n_toxic), (c + 0.5) / (n_clean + 1)
-                gain = t * math.log(p / q)
-                if gain > 30:
-                    scored.append((gain, -needs, s, math.log((t + 0.5) / (c + 0.5)), needs))
+    both = counts.select("stem", F.explode(F.array(*[F.struct(F.col(t).alias("t"), (F.col(c) * clean_weight).alias("c"), F.lit(k).alias("needs")) for t, c, k in (("t1", "c1", 1), ("t2", "c2", 2))])).alias("x"))
+    rows = both.select("stem", "x.*").filter((F.col("t") >= MIN_TOXIC) & (F.col("t") > 2.0 * F.col("c")))
+    p, q = F.col("t") / max(1, n_toxic), (F.col("c") + 0.5) / (n_clean * clean_weight + 1)
+    rows = rows.withColumn("gain", F.round(F.col("t") * F.log(p / q), 9)).filter(F.col("gain") > MIN_GAIN)
+    order = [F.desc("gain"), F.asc("needs"), F.desc("stem")]
     lexicon = Lexicon()
     chosen: list[str] = []
-    for _, _, s, weight, needs in sorted(scored, reverse=True):
-        word = s.rstrip("$")
+    for r in rows.orderBy(*order).limit(CANDIDATES).collect():
+        word, weight = r.stem.rstrip("$"), math.log((r.t + 0.5) / (r.c + 0.5))
         if any(word.startswith(x) or x.startswith(word) for x in chosen):
             continue
         chosen.append(word)
-        if s.endswith("$"):
+        if r.stem.endswith("$"):
             lexicon.words[word] = weight
         else:
-            lexicon.stems[s] = (weight, needs)
-        if len(chosen) == 400:
+            lexicon.stems[r.stem] = (weight, r.needs)
+        if len(chosen) == MAX_STEMS:
             break
     return lexicon
 
 
+def feature_rows(sample: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the sample's rows, in order of their ids."""
+    shared = sample.sparkSession.sparkContext.broadcast(lexicon)
+
+    def make():
+        classifier = Classifier(shared.value)
+
+        def work(arr: pa.Array) -> list[pa.Array]:
+            return [pa.array([features(classifier.codes(tokens(t or "")), classifier.entries).tolist() for t in arr.to_pylist()], pa.list_(pa.float64()))]
+
+        return work
+
+    made = C.map_texts(sample, "t", ["gl_id", "y"], [T.StructField("x", T.ArrayType(T.DoubleType()))], make)
+    rows = made.select("x", "y").orderBy("gl_id").collect()  # at most two samples of a few numbers
+    return np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weighted ridge logistic regression by Newton steps; the last coefficient is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -248,8 +289,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0
     return beta
 
 
-#: without labels: an asserted insult decides
-DEFAULT_BETA = np.array([2.0, 0.5, 0.2, 0.4, 0.5, 1.0, 0.0, 0.5, -3.0])
+#: without labels: an asserted insult or threat decides
+DEFAULT_BETA = np.array([2.0, 0.5, 0.2, 0.4, 0.5, 4.0, 0.0, 0.5, -3.0])
 
 
 @dataclass
@@ -258,16 +299,16 @@ class Model:
     beta: np.ndarray = field(default_factory=DEFAULT_BETA.copy)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, sample: int, train) -> tuple[list, dict]:
-    """At most `sample` rows (text, label) of each class; and the classes' counts over all training labels."""
+def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, sample: int, train) -> tuple[DataFrame, dict]:
+    """gl_id, y, t of at most `sample` rows of each class, stored; and the classes' counts over all training labels."""
     known = labels.select(labels["doc_id"].alias("gl_id"), labels["toxic"].cast("int").alias("gl_y")).dropna()
     known = known.filter(train(F.col("gl_id")) & F.col("gl_y").isin(0, 1)).groupBy("gl_id").agg(F.max("gl_y").alias("gl_y"))
     counts = {r.gl_y: r["count"] for r in known.groupBy("gl_y").count().collect()}
     chosen = [known.filter(F.col("gl_y") == y).orderBy(F.xxhash64("gl_id"), "gl_id").limit(sample) for y in (0, 1)]
     side = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
-    rows = docs.select(docs[doc_id].alias("gl_d"), docs[text].alias("gl_t")).join(side, F.col("gl_d") == F.col("gl_id"))
+    rows = docs.select(docs[doc_id].alias("gl_d"), docs[text].cast("string").alias("gl_t")).join(side, F.col("gl_d") == F.col("gl_id"))
     firsts = rows.groupBy("gl_id").agg(F.max("gl_y").alias("y"), F.min("gl_t").alias("t"))  # one row of repeated ids
-    return [(r.t or "", r.y) for r in firsts.select("t", "y").orderBy("gl_id").collect()], counts
+    return C.stored(firsts.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "gl_id"), "sample"), counts
 
 
 def train_model(
@@ -275,17 +316,14 @@ def train_model(
 ) -> Model:
     """train: a predicate over the id column that says which labelled rows may be learned from (default: all)."""
     rows, counts = training_rows(docs, labels, doc_id, text, sample, train or (lambda c: F.lit(True)))
-    texts, y = [t for t, _ in rows], [v for _, v in rows]
-    n_toxic, n_clean = sum(y), len(y) - sum(y)
+    found = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    n_toxic, n_clean = found.get(1, 0), found.get(0, 0)
     if min(n_toxic, n_clean) < 5:
         return Model()
     clean_weight = (counts[0] / n_clean) / (counts[1] / n_toxic)
-    lexicon = learn_stems(texts, y, clean_weight)
-    classifier = Classifier(lexicon)
-    x = np.array([features(classifier.codes(tokens(t)), classifier.entries) for t in texts])
-    labels_ = np.array(y, float)
-    weights = np.where(labels_ > 0, 1.0, clean_weight)
-    return Model(lexicon, fit_logistic(x, labels_, weights))
+    lexicon = learn_stems(count_stems(rows), n_toxic, n_clean, clean_weight)
+    x, y = feature_rows(rows, lexicon)
+    return Model(lexicon, fit_logistic(x, y, np.where(y > 0, 1.0, clean_weight)))
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, keep: list[str], text: str = "text") -> DataFrame:
