@@ -5,10 +5,13 @@ support vector machines, one for each family against the rest, choose the family
 vote, ties go to the larger sum of margins, then to the name.
 
 Scale: prediction is one pass, no shuffle; the weights are a fixed-size broadcast. The machines are fitted on the
-driver on at most `per_lang` rows of each language (those with the smallest hash of the id).
+driver on at most `per_lang` rows of each language (those with the smallest hash of the id) and `sample_rows` rows of all: the
+executors make the vectors, the driver gets DIMENSIONS numbers for each row of the sample, no texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled row all are `und`;
-with one language all other texts are that language; repeated rows are each judged; null langs are not learned from.
+with one language all other texts are that language; repeated rows are each judged, and learned from once; null langs are not
+learned from; ties go to the larger sum of margins, then to the name; a very long text is one text like any other; an empty table
+gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 PER_LANG = 500
+SAMPLE_ROWS = 8_000
 DIMENSIONS = 1 << 12
 HASH_RANGE = 1 << 40
 FOLDS, HELD_OUT = 3, 1
@@ -123,12 +127,15 @@ class Model:
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
+    return fit_vectors(np.array([vector(t) for t in texts], np.float32), langs)
+
+
+def fit_vectors(x: np.ndarray, langs: list[str]) -> Model:
     families: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         families.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
     if not families:
         return Model({}, {}, {})
-    x = np.array([vector(t) for t in texts], np.float32)
     names = np.array(langs)
     family = np.array([FAMILY_OF.get(lang, lang) for lang in langs])
     top = {f: fit_svm(x, np.where(family == f, 1, -1).astype(np.float32)) for f in families} if len(families) > 1 else {}
@@ -140,7 +147,9 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(families, top, pairs)
 
 
-def train_model(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, train=None) -> Model:
+def train_model(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, sample_rows: int = SAMPLE_ROWS, train=None
+) -> Model:
     """train: a predicate over the id column that says which rows may be learned from (default: all)."""
     rows = docs.select(docs[doc_id].alias("gl_id"), docs[lang].cast("string").alias("gl_lang"), docs[text].alias("gl_t"))
     known = rows.filter(F.col("gl_lang").isNotNull() & F.col("gl_t").isNotNull())
@@ -148,15 +157,21 @@ def train_model(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         known = known.filter(train(F.col("gl_id")))
     # the smallest hashes of each language: a threshold from its count leaves about four times what is wanted to be ranked
     counts = C.counted_side(known.groupBy("gl_lang").agg(F.count("*").alias("gl_count")), 10_000)
+    per_lang = max(1, min(per_lang, sample_rows // max(1, counts.count())))
     keys = known.select("gl_id", "gl_lang", F.pmod(F.xxhash64("gl_id"), F.lit(HASH_RANGE)).alias("gl_order")).join(counts, "gl_lang")
     keys = keys.filter(F.col("gl_order") <= F.lit(4.0 * per_lang * HASH_RANGE) / F.col("gl_count"))
     rank = F.row_number().over(Window.partitionBy("gl_lang").orderBy("gl_order", "gl_id"))
     keys = keys.withColumn("gl_n", rank).filter(F.col("gl_n") <= per_lang)
     side = F.broadcast(keys.select("gl_id", "gl_lang").distinct())  # at most per_lang rows of each language
     firsts = known.join(side, ["gl_id", "gl_lang"]).groupBy("gl_id", "gl_lang").agg(F.min("gl_t").alias("t"))
-    found = firsts.orderBy("gl_lang", F.xxhash64("gl_id")).collect()
-    found = [r for r in found if has_letter(r.t)]
-    return fit([r.t for r in found], [r.gl_lang for r in found])
+    made = C.map_texts(firsts, "t", ["gl_id", "gl_lang"], [T.StructField("v", T.BinaryType())], _vectors)
+    found = made.filter("v is not null").orderBy("gl_lang", F.xxhash64("gl_id"), "gl_id").select("gl_lang", "v").collect()  # at most sample_rows vectors
+    x = np.frombuffer(b"".join(r.v for r in found), np.float32).reshape(len(found), DIMENSIONS)
+    return fit_vectors(x, [r.gl_lang for r in found])
+
+
+def _vectors():
+    return lambda arr: [pa.array([vector(t).astype(np.float32).tobytes() if has_letter(t) else None for t in arr.to_pylist()], pa.binary())]
 
 
 def identify(docs: DataFrame, model: Model, *, keep: list[str], text: str = "text") -> DataFrame:
