@@ -59,3 +59,15 @@ def test_rows(spark, table_words):
 def test_decode_join(spark):
     df = spark.createDataFrame([(1, LIB.encode("häuser 12!").ids), (2, []), (3, None)], "n long, ids array<int>")
     assert [r.text for r in B.decode_ids(df).orderBy("n").collect()] == ["häuser 12!", "", None]
+
+
+def test_query_keeps_its_contract(spark):
+    rows = B.op3_bpe(spark, "/root/testdata/sf0.001")
+    assert rows.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = rows.collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = LIB.encode(texts[r.doc_id], add_special_tokens=False).ids
+        text = LIB.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())

@@ -132,3 +132,56 @@ def test_clashing_columns(spark):
     got = P.redact_pii(df)
     assert got.columns == df.columns
     assert sorted((r.doc_id, r.text, r["new"], r.n_chars) for r in got.collect()) == [(1, "mail [EMAIL]", 1, 12), (2, None, 1, 4)]
+
+
+DIGITS = {str(i): [str(i), chr(0xFF10 + i), chr(0x0660 + i)] for i in range(10)}
+NAMES = [n.split() for n in P.DIGIT_NAMES]
+
+
+@st.composite
+def disguised(draw):
+    """(kind, disguise): a plain identifier written in one of the disguises that the module lists."""
+    kind = draw(st.sampled_from(["email", "ip", "card", "spelled card"]))
+    if kind == "email":
+        at = draw(st.sampled_from([" (at) ", "[at]", " at ", "{at}", " _at_ ", "(@)"]))
+        dot = draw(st.sampled_from([" (dot) ", "[dot]", " dot ", "[.]", " {dot} "]))
+        if at == " at ":
+            dot = " dot "
+        return kind, f"{draw(st.sampled_from(['jane', 'j.roe', 'bob_9']))}{at}site{dot}org"
+    if kind == "ip":
+        parts = [str(draw(st.integers(0, 255))) for _ in range(4)]
+        return kind, draw(st.sampled_from(["[.]", " dot ", "(dot)", "dot", "。"])).join(parts)
+    number = "4111111111111111"
+    if kind == "spelled card":
+        names = draw(st.sampled_from(NAMES))
+        return "card", draw(st.sampled_from([" ", "-", ", "])).join(names[int(d)] for d in number)
+    return kind, "".join(draw(st.sampled_from(DIGITS[d])) for d in number[:-1]) + draw(st.sampled_from(DIGITS["1"][1:]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["The text is;", "so; ", "Ünd: ", "x; "]), disguised()), min_size=1, max_size=3))
+def test_disguised_identifiers_map_back_to_their_characters(parts):
+    text, want = "", []
+    for before, (kind, body) in parts:
+        text += before + " "
+        want.append((kind, len(text), len(text) + len(body)))
+        text += body + "; "
+    base, added = P.find_spans(text)
+    assert base == [] and added == sorted(want, key=P._order)
+    red = P.redacted(text, added)
+    assert all(red.count(f"[{k.upper()}]") == sum(w[0] == k for w in want) for k in P.KINDS)
+
+
+def test_query_keeps_its_contract(spark):
+    rows = P.op8_pii(spark, "/root/testdata/sf0.001")
+    assert rows.dtypes[:7] == [("doc_id", "bigint"), ("n_email", "bigint"), ("n_ip", "bigint"), ("n_card", "bigint"), ("n_phone", "bigint"), ("base_sha256", "string"), ("spans", "string")]
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = rows.collect()
+    assert len(got) == len(texts) and sum(r.n_email for r in got)
+    for r in got:
+        base = plain(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in P.KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        listed = [x.split(":") for x in r.spans.split(",") if x]
+        spans = [(k, int(a), int(b)) for k, a, b in listed]
+        assert spans == sorted(spans, key=P._order) and set(base) <= set(spans) and all(b <= len(texts[r.doc_id]) for _, _, b in spans)
