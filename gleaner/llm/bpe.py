@@ -14,7 +14,8 @@ several times the input (README).
 Scale: what is shuffled are the distinct words of each task, never texts or positions.
 
 Defined results: a null text encodes as an empty one; repeated rows are each encoded; an empty table is an empty
-result; special tokens written in a text are those tokens, as the library does by default.
+result; special tokens written in a text are those tokens, as the library does by default; ties between merges are
+decided by the vocabulary's ranks; a very long text or word is encoded whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

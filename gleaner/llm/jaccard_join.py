@@ -13,7 +13,7 @@ only groups that can qualify are opened.
   block, the other groups that hold one of their prefix tokens in a set of a size that can link.
 * Large groups (several blocks) are not compared all with all: each block first links its own members; then the best
   connected member of each block visits the other blocks; last, members still outside their group's main component
-  visit them. Pairs of which both are in one component already need no comparison, so no link between components is lost.
+  visit them. A block with many visitors is opened in several tasks at once, each with its members and a part of the visitors. Pairs of which both are in one component already need no comparison, so no link between components is lost.
 * Links of a task are reduced to a spanning forest; components follow by alternating stars.
 
 Scale: texts are not shuffled (the few candidates' are read again through a broadcast of their ids if it is small, by a
@@ -24,7 +24,9 @@ compares its members pairwise, block by block.
 Token and set hashes have 64 bits: the expected number of mistaken merges is (distinct sets)^2 / 2^65.
 
 Defined results: a null or empty text has no shingle and links with nothing; repeated rows are one node and each gets a row;
-rows of a null id count as documents without an id: they link, but never name a component.
+rows of a null id count as documents without an id: they link, but never name a component; ties between leads go to the
+smallest set hash; a very long text is one set like any other; an empty table gives an empty result; other columns, whatever
+their names, are not read, and stay as they are where one row of each component is kept.
 """
 
 from __future__ import annotations
@@ -45,7 +47,9 @@ NEAR_WIDTH, NEAR_NUM = 5, 80
 BLOCK = 128
 #: times 1 - t: the share of the hash range in which tokens are counted
 REACH, NEAR_REACH = 1.5, 1.2
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000  # of ids and sizes, some 20 MB
+#: visitors of one block that one task takes; the members of a block with more are replicated
+VISITORS = 1024
 
 
 def token_set(body: bytes, hasher: C.WordHasher, width: int) -> np.ndarray:
@@ -170,14 +174,23 @@ class Block:
         return [(node, self.nodes[j]) for j in self.linked(tokens).tolist() if self.nodes[j] != node]
 
 
-def open_blocks(plan: DataFrame, sets: DataFrame, num: int, den: int, members_too: bool) -> DataFrame:
-    """plan: node, gid, blk, visits (false: member); sets: node, tokens. -> a, b, hub: links, and each block's hub (b null)."""
+def open_blocks(plan: DataFrame, sets: DataFrame, num: int, den: int, members_too: bool, visitors: int, broadcast_rows: int) -> DataFrame:
+    """plan: node, gid, blk, visits (false: member); sets: node, tokens. -> a, b, hub: links, and each block's hub (b null).
+
+    Visitors of a block beyond `visitors` are dealt out over several tasks, each with all members of the block.
+    """
+    plan = C.stored(plan, "plan")
+    crowd = plan.filter("visits").groupBy("gid", "blk").agg(F.count("*").alias("n")).filter(F.col("n") > visitors)
+    crowd = C.counted_side(crowd.select("gid", "blk", F.ceil(F.col("n") / visitors).cast("int").alias("parts")), broadcast_rows)
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.when(F.col("visits"), F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
+    plan = plan.join(crowd, ["gid", "blk"], "left").select("node", "gid", "blk", "visits", F.explode(part).alias("part"))
 
     def run(batches):
         block, key, out = Block(num, den), None, []
 
         def close():
-            if block.nodes and members_too:
+            if block.nodes and members_too and key[2] == 0:
                 links, hub = block.own_links()
                 out.extend((a, b, False) for a, b in links)
                 out.append((hub, None, True))
@@ -188,12 +201,12 @@ def open_blocks(plan: DataFrame, sets: DataFrame, num: int, den: int, members_to
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(h, pa.bool_())], names=["a", "b", "hub"])
 
         for batch in batches:
-            gid, blk, visits, node = (batch.column(i).to_pylist() for i in range(4))
-            tokens = batch.column(4)
+            gid, blk, part, visits, node = (batch.column(i).to_pylist() for i in range(5))
+            tokens = batch.column(5)
             for i in range(batch.num_rows):
-                if (gid[i], blk[i]) != key:
+                if (gid[i], blk[i], part[i]) != key:
                     close()
-                    block, key = Block(num, den), (gid[i], blk[i])
+                    block, key = Block(num, den), (gid[i], blk[i], part[i])
                 mine = tokens[i].values.to_numpy().view(np.uint64)
                 if not visits[i]:
                     block.add(node[i], mine)
@@ -206,8 +219,8 @@ def open_blocks(plan: DataFrame, sets: DataFrame, num: int, den: int, members_to
             yield emit()
         C.release()
 
-    rows = plan.join(sets, "node").select("gid", "blk", "visits", "node", "tokens")
-    dealt = rows.repartition("gid", "blk").sortWithinPartitions("gid", "blk", "visits")
+    rows = plan.join(sets, "node").select("gid", "blk", "part", "visits", "node", "tokens")
+    dealt = rows.repartition("gid", "blk", "part").sortWithinPartitions("gid", "blk", "part", "visits")
     return dealt.mapInArrow(run, "a long, b long, hub boolean")
 
 
@@ -222,9 +235,10 @@ def link_documents(
     block: int = BLOCK,
     reach: float = REACH,
     broadcast_rows: int = BROADCAST_ROWS,
+    visitors: int = VISITORS,
 ) -> DataFrame:
     """Per document row: doc_id, text_hash, n_shingles, component_id. Two sets link if den * |and| >= num * |or|."""
-    found = _linked_rows(docs, doc_id, text, width, num, den, block, reach, broadcast_rows)
+    found = _linked_rows(docs, doc_id, text, width, num, den, block, reach, broadcast_rows, visitors)
     return found.select(
         F.col("gl_id").alias(doc_id),
         F.col("gl_h").alias("text_hash"),
@@ -234,7 +248,7 @@ def link_documents(
 
 
 def _linked_rows(
-    docs: DataFrame, doc_id: str, text: str, width: int, num: int, den: int, block: int, reach: float, broadcast_rows: int
+    docs: DataFrame, doc_id: str, text: str, width: int, num: int, den: int, block: int, reach: float, broadcast_rows: int, visitors: int
 ) -> DataFrame:
     """Per document row: gl_id, gl_h, n (shingles); root and component (its smallest id) where the row has a like."""
     C.bounded_batches(docs.sparkSession)
@@ -267,11 +281,11 @@ def _linked_rows(
     plan = placed.select("node", "gid", "blk", F.lit(False).alias("visits")).unionByName(visits.withColumn("visits", F.lit(True)))
 
     sets = _candidate_sets(source, rows, placed.select("node"), width, broadcast_rows)
-    first = C.stored(open_blocks(plan, sets, num, den, True), "links")
+    first = C.stored(open_blocks(plan, sets, num, den, True, visitors, broadcast_rows), "links")
     edges = first.filter("not hub").select("a", "b")
     several = C.stored(placed.filter("n_blk > 1"), "several")
     if several.limit(1).count():
-        edges = _large_groups(several, first, edges, sets, num, den, broadcast_rows)
+        edges = _large_groups(several, first, edges, sets, num, den, broadcast_rows, visitors)
     found = components(edges)
 
     sizes = rows.filter("n > 0").groupBy("node").agg(F.min("gl_id").alias("doc"), F.count("*").alias("copies"))
@@ -300,7 +314,7 @@ def _candidate_sets(source: DataFrame, rows: DataFrame, wanted: DataFrame, width
     return C.stored(made, "tokens")
 
 
-def _large_groups(several: DataFrame, first: DataFrame, edges: DataFrame, sets: DataFrame, num: int, den: int, broadcast_rows: int) -> DataFrame:
+def _large_groups(several: DataFrame, first: DataFrame, edges: DataFrame, sets: DataFrame, num: int, den: int, broadcast_rows: int, visitors: int) -> DataFrame:
     """The links between blocks of one group that components still need."""
     members = several.select("node", "gid", "blk", F.lit(False).alias("visits"))
 
@@ -308,7 +322,7 @@ def _large_groups(several: DataFrame, first: DataFrame, edges: DataFrame, sets:
         """who (node, gid, blk, n_blk) visits all other blocks of its group."""
         every = who.select("node", "gid", F.col("blk").alias("own"), F.explode(F.expr("sequence(0, n_blk - 1)")).alias("blk"))
         every = every.filter("blk != own").select("node", "gid", "blk", F.lit(True).alias("visits"))
-        return open_blocks(members.unionByName(every), sets, num, den, False).select("a", "b")
+        return open_blocks(members.unionByName(every), sets, num, den, False, visitors, broadcast_rows).select("a", "b")
 
     hubs = several.join(first.filter("hub").select(F.col("a").alias("node")).distinct(), "node")
     found = components(edges.unionByName(tour(hubs)))
@@ -329,7 +343,7 @@ def drop_near_duplicates(
     """
     docs, names = C.by_position(docs)
     doc_id, text = (f"gl{names.index(c)}" for c in (doc_id, text))
-    found = _linked_rows(docs, doc_id, text, width, num, den, BLOCK, reach, broadcast_rows).filter("root is not null")
+    found = _linked_rows(docs, doc_id, text, width, num, den, BLOCK, reach, broadcast_rows, VISITORS).filter("root is not null")
     texts = C.stored(found.groupBy("root", "gl_id", "gl_h").agg(F.count("*").alias("copies")), "texts")
     best = texts.groupBy("root").agg(F.min(F.struct(F.col("gl_id").isNull().alias("no_id"), "gl_id", "gl_h")).alias("b"))
     best = C.counted_side(best.select("root", F.col("b.gl_id").alias("b_id"), F.col("b.gl_h").alias("b_h")), broadcast_rows)

@@ -8,8 +8,9 @@ text, and what they find there is mapped back to source spans.
 Scale: one pass, no shuffle; texts in which no transducer has work are not rewritten. The patterns run in linear
 time on any text: possessive repeats, and e-mail addresses are grown outwards from each "@".
 
-Defined results: a null text counts as empty and has no spans; overlapping spans of different kinds all count;
-repeated rows are each judged.
+Defined results: a null text counts as empty and has no spans; overlapping spans of different kinds all count; of spans that
+begin alike the longer one names the mark, then the kind listed first; repeated rows are each judged; a very long text is
+searched whole; an empty table gives an empty result; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations

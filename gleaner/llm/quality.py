@@ -9,7 +9,9 @@ buckets and the broadcast is the bucket table, both independent of the corpus. T
 below `broadcast_rows`, beyond that both sides are shuffled.
 
 Defined results: a null or empty text has no words and fails the base rule; without any labelled row the ratio is 0 for
-all and the threshold rejects none; repeated label rows count once; repeated document rows are each judged.
+all and the threshold rejects none; repeated label rows count once; repeated document rows are each judged; scores equal to
+the threshold are kept; a very long text is read whole; an empty table gives an empty result; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ a hot host is split by adaptive skew handling, since nothing above the join need
 capture, which spreads evenly.
 
 Defined results: a null url, or one without a host, matches nothing; a null fetch time matches nothing; repeated entries of one
-moment count once, a removal wins over an addition of the same moment; repeated captures are each judged.
+moment count once, a removal wins over an addition of the same moment; repeated captures are each judged; of equally specific entries
+an allowing one wins; a very long url is one url like any other; an empty table of captures gives an empty result, an
+empty list blocks nothing; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

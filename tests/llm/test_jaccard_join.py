@@ -48,11 +48,11 @@ def corpus(rng, bases=12, copies=18):
     return [*out, out[3], (None, out[5][1]), (None, "no id and no like")]
 
 
-@pytest.mark.parametrize("width,num,block,rows,reach", [(3, 90, 128, 10**6, 1.5), (5, 80, 4, 10**6, 1.2), (3, 90, 3, 0, 0.5), (1, 50, 5, 10, 1.9)])
-def test_against_brute_force(spark, width, num, block, rows, reach):
+@pytest.mark.parametrize("width,num,block,rows,reach,visitors", [(3, 90, 128, 10**6, 1.5, 1024), (5, 80, 4, 10**6, 1.2, 2), (3, 90, 3, 0, 0.5, 3), (1, 50, 5, 10, 1.9, 1)])
+def test_against_brute_force(spark, width, num, block, rows, reach, visitors):
     data = corpus(random.Random(width * block))
     df = spark.createDataFrame([(*d, 1) for d in data], "doc_id long, text string, node int").repartition(3)
-    got = J.link_documents(df, width=width, num=num, block=block, reach=reach, broadcast_rows=rows).collect()
+    got = J.link_documents(df, width=width, num=num, block=block, reach=reach, broadcast_rows=rows, visitors=visitors).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(data, width, num, 100)
 
 
