@@ -88,10 +88,6 @@ def even_sample(items: Column, cap: int) -> Column:
     return let(items, of)
 
 
-def bucket(token: Column, dimensions: int = 256) -> Column:
-    return (F.conv(F.substring(F.sha1(token), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-
-
 def norm_subject(c: Column) -> Column:
     return F.lower(strip(F.regexp_replace(strip(c), REPLY_PREFIXES, "")))
 

@@ -16,6 +16,10 @@ from gleaner.functions import vectors as V
 NEAR, OVERLAP = 0.9, 0.7
 BANDS, ROWS = 25, 5
 PRIME = (1 << 31) - 1
+#: What a link says for itself.
+EXACT_EVIDENCE, NEAR_EVIDENCE, OVERLAP_EVIDENCE = "identieke inhoud (sha256:%s)", "near-duplicate cosine=%.3f", "overlap cosine=%.3f"
+#: rounds of the greedy rule in joins, and the links that may be left for one task after them
+LEADER_ROUNDS, ONE_TASK_EDGES = 6, 1_000_000
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -25,7 +29,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.filter(F.length("text") > 0).select("id", "source_path", F.sha2("text", 256).alias("digest"))
     first = keyed.groupBy("digest").agg(F.min(F.struct("source_path", "id")).alias("m"), F.count("*").alias("n")).filter("n > 1")
-    return keyed.join(first, "digest").select(F.col("id").alias("source"), F.col("m.id").alias("target"), F.concat(F.lit("sha256="), F.substring("digest", 1, 16)).alias("evidence")).filter("source != target")
+    return keyed.join(first, "digest").select(F.col("id").alias("source"), F.col("m.id").alias("target"), F.format_string(EXACT_EVIDENCE, F.substring("digest", 1, 12)).alias("evidence")).filter("source != target")
 
 
 def permutation(i: int) -> tuple[int, int]:
@@ -58,52 +62,80 @@ def band_keys(bands: int = BANDS, rows: int = ROWS):
 def minhash_candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (id, text) -> a, b (a < b): pairs that share a band key, each once.
 
-    Equal texts share every band, so one of each text stands for all: exact copies belong to exact_duplicates.
+    Equal texts share every band, so one of each text stands for all: exact copies belong to exact_duplicates. The keys are made
+    in one pass and travel as 64-bit hashes with the text's digest; no text is shuffled.
     """
-    one = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    keyed = one.select("id", F.explode(F.array_distinct(band_keys(bands, rows)("text"))).alias("key")).select("id", F.xxhash64("key").alias("h"), "key")
-    other = keyed.select(F.col("id").alias("b"), F.col("h"), F.col("key").alias("key_b"))
-    pairs = keyed.withColumnRenamed("id", "a").join(other, "h").filter("key = key_b and a < b")
+    keys = F.transform(F.array_distinct(band_keys(bands, rows)("text")), lambda k: F.xxhash64(k))
+    made = docs.select("id", F.sha2("text", 256).alias("digest"), keys.alias("keys"))
+    one = made.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    keyed = one.select(F.col("id").alias("a"), F.explode("keys").alias("h"))
+    pairs = keyed.join(keyed.withColumnRenamed("a", "b"), "h").filter("a < b")
     return pairs.select("a", "b").distinct()
 
 
-def cosine_edges(docs: DataFrame, pairs: DataFrame, threshold: float = OVERLAP) -> DataFrame:
-    """pairs (a, b) with the cosine of the whole documents' hashing vectors, rounded to 6 decimals, at or above the threshold."""
-    vectors = docs.select("id", V.hashing_embed("text").alias("v"))
+def cosine_edges(docs: DataFrame, pairs: DataFrame, threshold: float = OVERLAP, *, embed=V.hashing_embed, store=None) -> DataFrame:
+    """pairs (a, b) with the cosine of the whole documents' vectors, rounded to 6 decimals, at or above the threshold.
+
+    embed: a column function text -> vector. Only documents of a pair are embedded; with `store` each of them once.
+    """
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    vectors = docs.join(paired, "id", "left_semi").select("id", embed("text").alias("v"))
+    vectors = store(vectors) if store else vectors
     left = pairs.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a")
     both = left.join(vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    return both.select("a", "b", F.round(V.dot(F.col("va"), F.col("vb")), 6).alias("cos")).filter(F.col("cos") >= threshold)
+    return both.select("a", "b", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("cos")).filter(F.col("cos") >= threshold)
+
+
+def greedy_leaders(edges: pd.DataFrame) -> pd.DataFrame:
+    """Leaders among the nodes of edges (a, b), a before b: in order, a node without an earlier adjacent leader."""
+    earlier = edges.groupby("b")["a"].agg(list).to_dict()
+    chosen: set = set()
+    for node in sorted(set(edges["a"]) | set(edges["b"])):
+        if not chosen.intersection(earlier.get(node, ())):
+            chosen.add(node)
+    return pd.DataFrame({"node": sorted(chosen)})
 
 
-def leaders(nodes: DataFrame, edges: DataFrame, store, max_rounds: int = 10_000) -> DataFrame:
+def leaders(nodes: DataFrame, edges: DataFrame, store, max_rounds: int = 10_000, rounds: int = LEADER_ROUNDS, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """node, leader under the greedy rule: in order of nodes, a node without an earlier adjacent leader is a leader; any
     other belongs to its first adjacent leader. edges (a, b): a before b. Each round decides every node whose earlier neighbours are decided
-    or one of whose earlier neighbours is a leader."""
+    or one of whose earlier neighbours is a leader. What is undecided after `rounds` of them (long chains) is decided in one
+    task, in order, once its links are counted and are at most `one_task`; until then the rounds go on."""
     open_ = store(edges.select("a", "b").distinct())
     chief = edges.select(F.col("b").alias("node")).distinct()
     lead = store(nodes.select("node").join(chief, "node", "left_anti"))
     undecided = store(chief)
-    for _ in range(max_rounds):
+    for i in range(max_rounds):
         follows = store(open_.join(lead.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct())
         undecided = store(undecided.join(follows, "node", "left_anti"))
         if not undecided.limit(1).count():
             break
+        if i >= rounds:
+            left = F.broadcast(undecided) if undecided.limit(one_task + 1).count() <= one_task else undecided
+            rest = open_.join(left.select(F.col("node").alias("a")), "a", "left_semi").join(left.select(F.col("node").alias("b")), "b", "left_semi")
+            rest = store(rest.select("a", "b"))
+            if rest.limit(one_task + 1).count() <= one_task:
+                alone = undecided.join(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_anti")
+                lead = store(lead.unionByName(alone).unionByName(rest.groupBy().applyInPandas(greedy_leaders, "node string")))
+                break
         blocked = open_.join(undecided.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
         fresh = store(undecided.join(blocked, "node", "left_anti"))
         lead = store(lead.unionByName(fresh))
         undecided = store(undecided.join(fresh, "node", "left_anti"))
+    else:
+        raise RuntimeError(f"leaders not decided after {max_rounds} rounds")
     first = edges.join(lead.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
     return nodes.select("node").join(first, "node", "left").join(lead.withColumn("self", F.lit(True)), "node", "left").select(
         "node", F.when(F.col("self"), F.col("node")).otherwise(F.col("leader")).alias("leader")
     )
 
 
-def near_duplicates(docs: DataFrame, store, *, near: float = NEAR, overlap: float = OVERLAP, pairs: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
-    """docs (id, source_path, text) without exact copies -> source, kind, target, evidence in path order."""
+def near_duplicates(docs: DataFrame, store, *, near: float = NEAR, overlap: float = OVERLAP, embed=V.hashing_embed, pairs: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """docs (id, source_path, text) without exact copies -> source, kind, target, evidence, cosine in path order."""
     byname = docs.select("id", "source_path")
     if edges is None:
         pairs = pairs if pairs is not None else minhash_candidates(docs.select("id", "text"))
-        edges = cosine_edges(docs, pairs, overlap)
+        edges = cosine_edges(docs, store(pairs), overlap, embed=embed, store=store)
     a, b = byname.toDF("a", "pa"), byname.toDF("b", "pb")
     rows = edges.join(a, "a").join(b, "b")
     swap = F.col("pa") > F.col("pb")
@@ -119,7 +151,8 @@ def near_duplicates(docs: DataFrame, store, *, near: float = NEAR, overlap: floa
     made = dup.select("a", "b", "cos", F.lit(S.DUPLICATE_OF).alias("kind")).unionByName(band.select("a", "b", "cos", F.lit(S.OVERLAPS_WITH).alias("kind")))
     ids = byname.select(F.col("id"), F.col("source_path"))
     made = made.join(ids.toDF("target", "a"), "a").join(ids.toDF("source", "b"), "b")
-    return made.select("source", "kind", "target", F.format_string("cosine=%.4f", "cos").alias("evidence"))
+    evidence = F.when(F.col("kind") == S.DUPLICATE_OF, F.format_string(NEAR_EVIDENCE, "cos")).otherwise(F.format_string(OVERLAP_EVIDENCE, "cos"))
+    return made.select("source", "kind", "target", evidence.alias("evidence"), F.col("cos").alias("cosine"))
 
 
 def group_roots(candidates: DataFrame, duplicate_of: DataFrame) -> DataFrame:

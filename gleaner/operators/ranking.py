@@ -13,6 +13,7 @@ from gleaner.functions import text as X
 from gleaner.functions import vectors as V
 
 K1, LENGTH_WEIGHT = 1.5, 0.75
+RERANK_ROWS = 100_000
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -71,9 +72,27 @@ def hybrid(cosines: DataFrame, scores: DataFrame, alpha: float = 0.0, digits: in
     return cosines.join(scores, "id").select("id", mixed.alias("final"))
 
 
-def rerank(docs: DataFrame, query: str) -> DataFrame:
-    """docs with `rerank`, a side score: all stay and `final` is untouched."""
-    return docs.drop("rerank").join(bm25(docs, query).select("id", F.col("bm25").alias("rerank")), "id", "left")
+def rerank(docs: DataFrame, query: str, reranker=None, *, most: int = RERANK_ROWS) -> DataFrame:
+    """docs with `rerank`, a side score: all stay and `final` is untouched.
+
+    Without a reranker, BM25 as joins. A reranker's scores hang on the whole set, which so goes to one task in order of ids;
+    its rows are counted first, and more than `most` are an error before any call is paid for.
+    """
+    plain = docs.drop("rerank")
+    if reranker is None:
+        return plain.join(bm25(docs, query).select("id", F.col("bm25").alias("rerank")), "id", "left")
+    if docs.limit(most + 1).count() > most:
+        raise ValueError(f"a reranker takes one set of at most {most} documents")
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        scores = reranker.rerank(query, [t or "" for t in pdf["text"]])
+        return pd.DataFrame({"id": pdf["id"].to_numpy(), "rerank": [round(float(s), 6) for s in scores]})
+
+    clip = getattr(reranker, "clip", 0)
+    text = F.substring("text", 1, clip) if clip else F.col("text")
+    made = docs.select("id", text.alias("text")).groupBy().applyInPandas(score, "id string, rerank double")
+    return plain.join(made, "id", "left")
 
 
 def top_by_final(docs: DataFrame, k: int) -> DataFrame:
@@ -81,10 +100,10 @@ def top_by_final(docs: DataFrame, k: int) -> DataFrame:
     return docs.orderBy(F.desc("final"), "id").limit(k) if k > 0 else docs
 
 
-def model_score(docs: DataFrame, criteria_block: str, llm, store, *, top_k: int = 0) -> DataFrame:
+def model_score(docs: DataFrame, criteria_block: str, llm, store, *, top_k: int = 0, log=None) -> DataFrame:
     """id, llm_relevance, rationale of the top documents; answers are stored once, so a re-read never asks again.
 
-    JSON answers are read first, free-form ones next; an answer without a score counts 0.
+    JSON answers are read first, free-form ones next; an answer without a score counts 0. log(answers) gets id, prompt, answer.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,6 +118,8 @@ def model_score(docs: DataFrame, criteria_block: str, llm, store, *, top_k: int
 
     asked = top_by_final(docs, top_k).select("id", F.substring("text", 1, 1500).alias("text"))
     answers = store(asked.mapInPandas(ask, "id string, prompt string, answer string"))
+    if log:
+        log(answers)
     return parse_answers(answers)
 
 

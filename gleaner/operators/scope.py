@@ -22,7 +22,7 @@ INVITE_SUBJECT = r"(?i)^\s*(uitnodiging|invitation)\s*:"
 FORWARDED = "alleen doorgestuurd bericht zonder eigen inhoud (regel: forwarded-only)"
 INVITE = "agenda-uitnodiging (regel: calendar-invite)"
 PROCESS = "procesnotificatie / automatisch bericht (regel: process-notification)"
-TAIL = "eerder bericht in de thread, opgevolgd door de thread-tip (regel: thread-tail)"
+TAIL = "eerdere mail, vertegenwoordigd door thread-head %s (regel: thread-tail)"
 
 
 def _text(name: str) -> Column:
@@ -45,7 +45,7 @@ def process_notification() -> Column:
 
 
 def thread_tail() -> Column:
-    return F.when((F.coalesce("thread_size", F.lit(1)) > 1) & ~F.coalesce("thread_tip", F.lit(True)), TAIL)
+    return F.when((F.coalesce("thread_size", F.lit(1)) > 1) & ~F.coalesce("thread_tip", F.lit(True)), F.format_string(TAIL, F.coalesce("thread_tip_id", F.lit("?"))))
 
 
 RULES = (forwarded_only, calendar_invite, process_notification, thread_tail)
@@ -64,10 +64,11 @@ def scope_filter(docs: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-def model_gate(docs: DataFrame, query: str, llm, store) -> DataFrame:
+def model_gate(docs: DataFrame, query: str, llm, store, log=None) -> DataFrame:
     """Asks `llm` about the undecided documents and excludes those it is certain about.
 
-    store(df) materialises the answers, so that each document is asked once however often the result is read.
+    store(df) materialises the answers, so that each document is asked once however often the result is read; log(answers) gets
+    them (id, prompt, verdict).
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,6 +78,8 @@ def model_gate(docs: DataFrame, query: str, llm, store) -> DataFrame:
 
     asked = docs.filter(F.col("decision") == S.UNDECIDED).select("id", "doc_type", F.substring("text", 1, 1500).alias("text"))
     answers = store(asked.mapInPandas(ask, "id string, prompt string, verdict string"))
+    if log:
+        log(answers)
     refused = answers.filter(X.is_exclude_verdict(F.col("verdict"))).select("id", F.lit(True).alias("gl_refused"))
     reason = f"LLM-oordeel: met zekerheid buiten scope (UITSLUITEN, model {getattr(llm, 'name', '?')})"
     out = docs.join(refused.dropDuplicates(["id"]), "id", "left")

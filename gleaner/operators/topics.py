@@ -1,8 +1,12 @@
-"""A two-level topic map: average-linkage clusters of chunk vectors, documents by majority, labels by TF-IDF."""
+"""A two-level topic map: average-linkage clusters of chunk vectors, documents by majority, labels by TF-IDF.
 
-from __future__ import annotations
+The average cosine distance of two clusters of unit vectors is one minus the product of their means, so a cluster is fully
+told by its sum and its size. Up to MAX_POINTS distinct vectors the linkage is exact. Beyond, points are dealt into cells
+around pivots, each cell merges its nearest points into sums first, and so on until MAX_POINTS are left for the exact end;
+only merges across cells that would have come early can differ.
+"""
 
-from dataclasses import dataclass, field
+from __future__ import annotations
 
 import numpy as np
 import pandas as pd
@@ -11,25 +15,32 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 from gleaner.functions import vectors as V
+from gleaner.plans.runtime import storer
 
 REST = "Overig"
 UNNAMED = "onbenoemd"
 TOPIC_DISTANCE, SUBTOPIC_DISTANCE, MIN_SIZE, CHUNK_CAP = 0.8, 0.5, 3, 40
-MAX_VECTORS = 12_000
+#: points that one task links exactly (a matrix of their squares); points of a cell; pivots of one round at most
+MAX_POINTS, CELL, MAX_PIVOTS = 6_000, 1_500, 4_096
 LABEL_TERMS, LABEL_LENGTH = 3, 3
 
 
-def average_linkage(x: np.ndarray) -> list[tuple[int, int, float]]:
+def unit(x: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(x, axis=1)
+    return x / np.where(length == 0, 1, length)[:, None]
+
+
+def average_linkage(x: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """Merges (a, b, height) of UPGMA on cosine distances by nearest-neighbour chains; a, b: row numbers inside the clusters.
 
-    Ties go to the lower row number, so the result depends on the rows' order alone.
+    Rows are vectors, or with `weight` means of that many unit vectors. Ties go to the lower row number, so the result depends on
+    the rows' order alone. Merges come in no order of height.
     """
     n = len(x)
-    length = np.linalg.norm(x, axis=1)
-    unit = x / np.where(length == 0, 1, length)[:, None]
-    gap = 1 - unit @ unit.T
+    mean = unit(x) if weight is None else x
+    gap = 1 - mean @ mean.T
     np.fill_diagonal(gap, np.inf)
-    size, alive = np.ones(n), np.ones(n, bool)
+    size, alive = np.ones(n) if weight is None else weight.astype(float), np.ones(n, bool)
     merges, chain = [], []
     for _ in range(n - 1):
         if not chain:
@@ -70,16 +81,23 @@ def cut(n: int, merges: list[tuple[int, int, float]], distance: float) -> list[i
     return [numbers.setdefault(find(i), len(numbers)) for i in range(n)]
 
 
-def two_level(vectors: np.ndarray, topic_distance: float, subtopic_distance: float) -> tuple[list[int], list[int]]:
+def two_level(vectors: np.ndarray, topic_distance: float, subtopic_distance: float, weight: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """Both cuts of one dendrogram, so subtopics lie inside topics."""
-    if len(vectors) > MAX_VECTORS:
-        raise ValueError(f"{len(vectors)} chunk vectors; average linkage holds at most {MAX_VECTORS}: lower the chunk cap or select fewer documents")
     if len(vectors) <= 1:
         return [0] * len(vectors), [0] * len(vectors)
-    merges = average_linkage(vectors)
+    merges = average_linkage(vectors, weight)
     return cut(len(vectors), merges, topic_distance), cut(len(vectors), merges, subtopic_distance)
 
 
+def merged_cell(mean: np.ndarray, weight: np.ndarray, distance: float) -> list[int]:
+    """Cluster numbers of one cell: merges up to the distance hold, and of the others the lowest until half of the points are left."""
+    merges = sorted(average_linkage(mean, weight), key=lambda m: m[2])
+    near = sum(h <= distance for _, _, h in merges)
+    kept = max(near, len(mean) - (len(mean) + 1) // 2)
+    # heights are sorted stably and no merge is lower than those inside it, so any first ones are a cut
+    return cut(len(mean), [(a, b, 0.0) for a, b, _ in merges[:kept]], 0.0)
+
+
 def _majority(clusters: list[int], medoid: int) -> int:
     counts = {c: clusters.count(c) for c in clusters}
     top = max(counts.values())
@@ -106,43 +124,89 @@ def chunk_vectors(docs: DataFrame, *, cap: int = CHUNK_CAP, size: int = X.CHUNK_
     return rows.select("id", "ordinal", V.hashing_embed("chunk").alias("v")).filter(V.usable(F.col("v")))
 
 
-@dataclass
-class Topic:
-    number: int
-    subtopics: dict[int, list[str]] = field(default_factory=dict)
-
-
-def cluster(vectors: DataFrame, *, topic_distance: float = TOPIC_DISTANCE, subtopic_distance: float = SUBTOPIC_DISTANCE) -> DataFrame:
+def _points(vectors: DataFrame) -> DataFrame:
+    """vectors (id, ordinal, v) -> id, ordinal, v (unit length), point: equal vectors are one point, named by its first chunk."""
+    n = V.norm(F.col("v"))
+    rows = vectors.select("id", "ordinal", F.transform("v", lambda x: F.round(x.cast("double") / n, 12)).alias("v"))
+    name = F.struct("id", F.col("ordinal").cast("long").alias("ordinal"))
+    first = rows.groupBy("v").agg(F.min(name).alias("point"))
+    return rows.join(first, "v")
+
+
+def _in_cells(points: DataFrame, n: int, distance: float, store) -> DataFrame:
+    """points (point, s, n) -> point, into: the point that each one is merged into, decided cell by cell."""
+    pivots = min(MAX_PIVOTS, -(-n // CELL) * 2)
+    chosen = points.orderBy(F.xxhash64("point.id", "point.ordinal"), "point").limit(pivots).select("s").toArrow()  # at most MAX_PIVOTS vectors
+    centres = unit(np.array(chosen["s"].to_pylist(), np.float64))
+    shared = points.sparkSession.sparkContext.broadcast(centres.T.astype(np.float32))
+
+    @F.pandas_udf("int")
+    def nearest(s: pd.Series) -> pd.Series:
+        x = np.array(s.tolist(), np.float32)
+        return pd.Series((x @ shared.value).argmax(axis=1).astype(np.int32))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(key=[(p["id"], p["ordinal"]) for p in pdf["point"]]).sort_values("key")
+        weight = pdf["n"].to_numpy(float)
+        mean = np.array(pdf["s"].tolist(), float) / weight[:, None]
+        keys, heads, into = pdf["key"].tolist(), {}, []
+        for k, c in zip(keys, merged_cell(mean, weight, distance), strict=True):
+            into.append(heads.setdefault(c, k))
+        return pd.DataFrame({"id": [k[0] for k in keys], "ordinal": [k[1] for k in keys], "to_id": [k[0] for k in into], "to_ordinal": [k[1] for k in into]})
+
+    celled = store(points.withColumn("cell", nearest("s")))
+    # a cell that many points are nearest to is dealt out evenly
+    size = celled.groupBy("cell").agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts"))  # at most MAX_PIVOTS rows
+    part = F.pmod(F.xxhash64("point.id", "point.ordinal"), F.col("parts"))
+    dealt = celled.join(F.broadcast(size), "cell").withColumn("part", part)
+    made = dealt.groupBy("cell", "part").applyInPandas(merge, "id string, ordinal long, to_id string, to_ordinal long")
+    return made.select(F.struct("id", "ordinal").alias("point"), F.struct(F.col("to_id").alias("id"), F.col("to_ordinal").alias("ordinal")).alias("into"))
+
+
+def _sums(points: DataFrame, by: str) -> DataFrame:
+    """by, s (sum of vectors), n of points (by, s, n): positions are summed by partial sums."""
+    flat = points.select(by, F.posexplode("s").alias("pos", "x")).groupBy(by, "pos").agg(F.sum("x").alias("x"))
+    s = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"])
+    return flat.groupBy(by).agg(s.alias("s")).join(points.groupBy(by).agg(F.sum("n").alias("n")), by)
+
+
+def cluster(
+    vectors: DataFrame, *, topic_distance: float = TOPIC_DISTANCE, subtopic_distance: float = SUBTOPIC_DISTANCE, store=None, max_points: int = MAX_POINTS
+) -> DataFrame:
     """vectors (id, ordinal, v) -> id, topic_no, subtopic_no, closeness (to the document's topic mean).
 
-    Average linkage needs all vectors in one place: the input is the selected core times the chunk cap, and its size is
-    checked before it is gathered; nothing is sampled.
+    Exact average linkage up to max_points distinct vectors; beyond that, cells of points merge first (see above) within half the
+    subtopic distance, or, where that leaves too many, as far as is needed. Nothing is sampled or refused.
     """
-    n = vectors.limit(MAX_VECTORS + 1).count()
-    if n > MAX_VECTORS:
-        raise ValueError(f"more than {MAX_VECTORS} chunk vectors: lower the chunk cap or select fewer documents")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "ordinal"], kind="stable").reset_index(drop=True)
-        x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
-        topics, subs = two_level(x, topic_distance, subtopic_distance)
-        means, rows = {}, []
-        for doc, at in pdf.groupby("id", sort=True).indices.items():
-            own = [x[i] for i in at]
-            topic, sub = assign(own, [topics[i] for i in at], [subs[i] for i in at])
-            means[doc] = np.mean(own, axis=0)
-            rows.append((doc, topic, sub))
-        out = pd.DataFrame(rows, columns=["id", "topic_no", "subtopic_no"])
-        out["closeness"] = 0.0
-        for at in out.groupby("topic_no").indices.values():
-            centre = np.mean([means[out["id"][i]] for i in at], axis=0)
-            for i in at:
-                v = means[out["id"][i]]
-                scale = np.linalg.norm(v) * np.linalg.norm(centre)
-                out.loc[i, "closeness"] = round(float(v @ centre / scale), 9) if scale else 0.0
-        return out
-
-    return vectors.groupBy().applyInPandas(run, "id string, topic_no long, subtopic_no long, closeness double")
+    store = store or storer(vectors.sparkSession)
+    rows = store(_points(vectors))
+    points = store(rows.groupBy("point").agg(F.first("v").alias("s"), F.count("*").alias("n")))
+    named = rows.select("id", "ordinal", "v", F.col("point").alias("at"))
+    while (n := points.count()) > max_points:
+        into = store(_in_cells(points, n, subtopic_distance / 2, store))
+        points = store(_sums(points.join(into, "point").select(F.col("into").alias("point"), "s", "n"), "point"))
+        named = store(named.join(into.withColumnRenamed("point", "at"), "at").select("id", "ordinal", "v", F.col("into").alias("at")))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["id", "ordinal"]).reset_index(drop=True)
+        weight = pdf["n"].to_numpy(float)
+        topics, subs = two_level(np.array(pdf["s"].tolist(), float).reshape(len(pdf), -1) / weight[:, None], topic_distance, subtopic_distance, weight)
+        return pd.DataFrame({"id": pdf["id"], "ordinal": pdf["ordinal"], "topic": topics, "subtopic": subs})
+
+    linked = points.select("point.*", "s", "n").groupBy().applyInPandas(link, "id string, ordinal long, topic long, subtopic long")
+    linked = store(linked.select(F.struct("id", "ordinal").alias("at"), "topic", "subtopic"))
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ordinal", kind="stable")
+        own = [np.array(v, float) for v in pdf["v"]]
+        topic, sub = assign(own, pdf["topic"].tolist(), pdf["subtopic"].tolist())
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "topic_no": [topic], "subtopic_no": [sub], "s": [np.mean(own, axis=0)]})
+
+    chunks = named.join(linked, "at").select("id", "ordinal", "v", "topic", "subtopic")
+    placed = store(chunks.groupBy("id").applyInPandas(place, "id string, topic_no long, subtopic_no long, s array<double>"))
+    centres = _sums(placed.select("topic_no", "s", F.lit(1).alias("n")), "topic_no").select("topic_no", F.col("s").alias("centre"))
+    close = F.round(V.cosine(F.col("s"), F.col("centre")), 9)
+    return placed.join(centres, "topic_no").select("id", "topic_no", "subtopic_no", close.alias("closeness"))
 
 
 def collapse_small(docs: DataFrame, clusters: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
@@ -168,22 +232,23 @@ def tfidf_labels(members: DataFrame, docs: DataFrame) -> DataFrame:
     return size.select("cluster").join(named, "cluster", "left").select("cluster", F.coalesce("label", F.lit(UNNAMED)).alias("label"))
 
 
-def model_labels(members: DataFrame, docs: DataFrame, llm, store, *, reps: int = 5) -> DataFrame:
+def model_labels(members: DataFrame, docs: DataFrame, llm, store, *, reps: int = 5, log=None) -> DataFrame:
     """The same from one model call a cluster: the texts of its first members by closeness; the first line that is not empty."""
 
     def ask(batches):
         for b in batches:
-            out = []
-            for texts in b["texts"]:
-                answer = llm.complete("Geef één onderwerp-label voor:\n" + "\n".join(f"- {t}" for t in texts))
-                out.append(next((x.strip() for x in answer.splitlines() if x.strip()), UNNAMED))
-            yield pd.DataFrame({"cluster": b["cluster"], "label": out})
+            prompts = ["Geef één onderwerp-label voor:\n" + "\n".join(f"- {t}" for t in texts) for texts in b["texts"]]
+            out = [next((x.strip() for x in llm.complete(p).splitlines() if x.strip()), UNNAMED) for p in prompts]
+            yield pd.DataFrame({"cluster": b["cluster"], "prompt": prompts, "label": out})
 
     order = Window.partitionBy("cluster").orderBy(F.desc("closeness"), "id")
     first = members.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= reps).join(docs, "id")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("rn", F.substring("text", 1, 400).alias("t")))), lambda x: x["t"])
     kind = dict(members.dtypes)["cluster"]
-    return store(first.groupBy("cluster").agg(texts.alias("texts")).mapInPandas(ask, f"cluster {kind}, label string"))
+    answers = store(first.groupBy("cluster").agg(texts.alias("texts")).mapInPandas(ask, f"cluster {kind}, prompt string, label string"))
+    if log:
+        log(answers)
+    return answers.select("cluster", "label")
 
 
 def label_topics(docs: DataFrame, placed: DataFrame, labels=tfidf_labels) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,24 @@ def validity_gate(docs: DataFrame, *, min_chars: int = MIN_CHARS, redaction_shar
     )
 
 
+def language_signal(docs: DataFrame, detect) -> DataFrame:
+    """id, language of the undecided documents with text, by detect(text) -> code or None. It informs, and excludes nothing;
+    a detector's error is no language."""
+
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> str | None:
+            try:
+                return detect(text)
+            except Exception:  # noqa: BLE001 - a detector that is unsure of a text may raise anything
+                return None
+
+        return texts.map(one)
+
+    open_ = docs.filter((F.coalesce("decision", F.lit(S.UNDECIDED)) != S.OUT_OF_SCOPE) & (X.strip(F.coalesce("text", F.lit(""))) != ""))
+    return open_.select("id", found("text").alias("language")).filter("language is not null")
+
+
 def decision_counts(docs: DataFrame) -> DataFrame:
     return docs.agg(
         F.count("*").alias("total"),

@@ -27,7 +27,7 @@ class Settings:
     redaction_share: float = 0.10
     recall_bias: float = 0.0
     alpha: float = 0.0
-    score_top_k: int = 0
+    score_top_k: int = 0  # 0: all; the command line takes 250
     summary_words: int = 100
     chunk_size: int = 1000
     topic_distance: float = 0.8
@@ -66,35 +66,41 @@ def ingest(spark: SparkSession, folder: str, audit: Audit, store, loaders=files.
     return docs
 
 
-def _gate(docs: DataFrame, settings: Settings, audit: Audit, store) -> DataFrame:
+def _gate(docs: DataFrame, settings: Settings, providers: P.Providers, audit: Audit, store) -> DataFrame:
     out = store(validity.validity_gate(docs, min_chars=settings.min_chars, redaction_share=settings.redaction_share))
     audit.events(out.filter(F.col("decision") == S.OUT_OF_SCOPE), "validity", "excluded", inputs=F.struct("decision_reason"))
     audit.events(out.filter("redaction_note is not null"), "validity", "redaction-kept", inputs=F.struct("redaction_ratio"))
+    if providers.detect_language:
+        audit.events(store(validity.language_signal(out, providers.detect_language)), "validity", "language", inputs=F.struct("language"))
     audit.event("validity", "validity-complete", inputs=validity.decision_counts(out).first().asDict())
     return out
 
 
-def _relate(docs: DataFrame, settings: Settings, audit: Audit, store) -> tuple[DataFrame, DataFrame]:
-    docs, relations = relate(docs, store, near=settings.near_dup, overlap=settings.overlap)
+def _relate(docs: DataFrame, settings: Settings, providers: P.Providers, counters: P.Counters, audit: Audit, store) -> tuple[DataFrame, DataFrame]:
+    if docs.filter("text != ''").limit(2).count() < 2:
+        audit.event("relate", "near-dup-skipped", inputs={"reason": "fewer than two texts"})
+    docs, relations = relate(docs, store, near=settings.near_dup, overlap=settings.overlap, embed=P.embedding_column(providers.embed, counters))
     rows = relations.withColumnRenamed("source", "id")
     action = F.when(F.col("kind") == S.THREAD_PARENT, "thread-link").when(F.col("kind") == S.DUPLICATE_OF, "duplicate").when(F.col("kind") == S.OVERLAPS_WITH, "overlap")
-    audit.events(rows.filter(F.col("kind") != S.ATTACHMENT_OF), "relate", action, inputs=F.struct("target", "evidence"))
+    audit.events(rows.filter(F.col("kind") != S.ATTACHMENT_OF), "relate", action, inputs=F.struct("target", "evidence"), provider=providers.embed)
     audit.event("relate", "relate-complete", inputs=relation_totals(relations).first().asDict())
     return store(docs), relations
 
 
-def _topics(core: DataFrame, settings: Settings, providers: P.Providers, audit: Audit, store):
+def _topics(core: DataFrame, settings: Settings, providers: P.Providers, counters: P.Counters, audit: Audit, store):
     """(labelled rows, menu frame): vectors of the core's chunks, clusters, labels."""
     rows = core.select("id", "text")
     if isinstance(providers.embed, P.HashingEmbed):
         vectors = topics.chunk_vectors(rows, cap=settings.chunk_cap, size=settings.chunk_size)
     else:
-        embed = P.embedding_column(providers.embed)
+        embed = P.embedding_column(providers.embed, counters)
         made = ranking.chunk_rows(rows, size=settings.chunk_size, cap=settings.chunk_cap)
-        vectors = made.select("id", "ordinal", embed("chunk").alias("v")).filter(topics.V.usable(F.col("v")))
-    clusters = topics.cluster(store(vectors), topic_distance=settings.topic_distance, subtopic_distance=settings.subtopic_distance)
+        vectors = store(made.select("id", "ordinal", embed("chunk").alias("v"))).filter(topics.V.usable(F.col("v")))
+    vectors = store(vectors)
+    audit.event("embed", "embed-corpus", inputs={"chunks": vectors.count()}, model=getattr(providers.embed, "name", "?"), location=getattr(providers.embed, "location", "?"))
+    clusters = topics.cluster(vectors, topic_distance=settings.topic_distance, subtopic_distance=settings.subtopic_distance, store=store)
     placed = store(topics.collapse_small(rows, clusters, settings.min_cluster_size))
-    labels = topics.tfidf_labels if providers.no_llm else lambda m, d: topics.model_labels(m, d, providers.llm, store)
+    labels = topics.tfidf_labels if providers.no_llm else lambda m, d: topics.model_labels(m, d, providers.llm, store, log=lambda a: audit.events(a.withColumnRenamed("cluster", "id"), "topics", "label", inputs=F.struct("label"), provider=providers.llm, prompt="prompt"))
     labelled = store(topics.label_topics(rows, placed, lambda m, d: labels(m.select("cluster", "id", "closeness") if not providers.no_llm else m.select("cluster", "id"), d)))
     rest = labelled.filter("topic_no is null")
     audit.events(rest, "topics", "overig-collapse")
@@ -108,18 +114,19 @@ def converge(
 ) -> Result:
     """docs: a folder of files, or canonical documents. No document is dropped: all come back with a decision and a reason."""
     settings, providers = settings or Settings(), providers or P.Providers()
-    store, audit = storer(spark), Audit(spark)
+    store, audit, counters = storer(spark), Audit(spark), P.Counters(spark)
     ts = datetime.now(UTC).isoformat()
-    audit.event("cli", "run-start", inputs={"query": query, "mode": mode, "value": value})
+    audit.event("cli", "run-start", inputs={"query": query, "mode": mode, "value": value, "no_llm": providers.no_llm, **settings.__dict__})
+    llm = {"provider": providers.llm, "prompt": "prompt"}
     with audit.stage("criteria"):
         criteria = criteria_op.articulate(query, None if providers.no_llm else providers.llm)
         audit.event("criteria", "articulate" if criteria.source == "llm" else "fallback", inputs=criteria.to_dict())
     with audit.stage("ingest"):
         table = ingest(spark, docs, audit, store, loaders) if isinstance(docs, str) else store(S.conform(docs))
     with audit.stage("validity"):
-        table = _gate(table, settings, audit, store)
+        table = _gate(table, settings, providers, audit, store)
     with audit.stage("relate"):
-        table, relations = _relate(table, settings, audit, store)
+        table, relations = _relate(table, settings, providers, counters, audit, store)
     with audit.stage("scope-filter"):
         before = table
         table = store(scope.scope_filter(table))
@@ -128,25 +135,27 @@ def converge(
         if providers.no_llm or not providers.scope_filter_llm:
             audit.event("scope-filter", "llm-skipped")
         else:
-            table = store(scope.model_gate(table, query, providers.llm, store))
+            table = store(scope.model_gate(table, query, providers.llm, store, log=lambda a: audit.events(a, "scope-filter", "llm-decision", inputs=F.struct("verdict"), **llm)))
         audit.event("scope-filter", "scope-complete", inputs=validity.decision_counts(table).first().asDict())
     with audit.stage("retrieve"):
         pool = store(ranking.candidates(table).drop("final", "embed_sim", "best_passage"))
-        found = ranking.retrieve(pool, query, size=settings.chunk_size, similarity=P.similarity_column(providers.embed, query))
+        found = ranking.retrieve(pool, query, size=settings.chunk_size, similarity=P.similarity_column(providers.embed, query, counters))
         ranked = pool.join(found.withColumn("embed_sim", F.col("final")), "id")
         if settings.alpha > 0:
             mixed = ranking.hybrid(found, ranking.bm25(pool, query), settings.alpha)
             ranked = ranked.drop("final").join(mixed, "id")
         ranked = store(ranked)
-        audit.event("retrieve", "first-pass", inputs={"candidates": ranked.count()})
+        audit.event("retrieve", "embed", inputs={"query": query, "chunk_size": settings.chunk_size}, model=getattr(providers.embed, "name", "?"), location=getattr(providers.embed, "location", "?"))
+        audit.ranked(ranked, "retrieve", "first-pass", "final", inputs={"query": query, "alpha": settings.alpha, "method": "max-cosine-best-passage"}, provider=providers.embed)
     with audit.stage("rerank"):
-        ranked = store(ranking.rerank(ranked, query))
-        audit.event("rerank", "rerank", inputs={"provider": getattr(providers.reranker, "name", "?")})
+        local = isinstance(providers.reranker, P.LexicalReranker) and providers.reranker == P.LexicalReranker()
+        ranked = store(ranking.rerank(ranked, query, None if local else providers.reranker))
+        audit.ranked(ranked, "rerank", "rerank", "rerank", inputs={"query": query}, provider=providers.reranker)
     with audit.stage("score"):
         if providers.no_llm:
             audit.event("score", "skipped")
         else:
-            scored = ranking.model_score(ranked, criteria.block(), providers.llm, store, top_k=settings.score_top_k)
+            scored = ranking.model_score(ranked, criteria.block(), providers.llm, store, top_k=settings.score_top_k, log=lambda a: audit.events(a, "score", "llm-score", inputs=F.struct("answer"), **llm))
             ranked = store(ranked.drop("llm_relevance", "rationale").join(scored, "id", "left"))
             audit.event("score", "score-complete")
     with audit.stage("select"):
@@ -161,7 +170,7 @@ def converge(
         audit.event("select", "select", inputs={"mode": mode, "value": value, "cutoff": None if cutoff == float("inf") else cutoff, "knee": knee and knee.__dict__})
     core = chosen.filter(F.col("decision") == S.SELECTED)
     with audit.stage("topics"):
-        labelled, menu = _topics(core, settings, providers, audit, store)
+        labelled, menu = _topics(core, settings, providers, counters, audit, store)
         named = labelled.select("id", "topic", "subtopic")
         chosen = store(chosen.drop("topic", "subtopic").join(named, "id", "left"))
         core = chosen.filter(F.col("decision") == S.SELECTED)
@@ -169,8 +178,9 @@ def converge(
         if providers.no_llm:
             audit.event("summarise", "skipped")
         else:
-            chosen = store(chosen.drop("summary").join(summarise.summarise(core, providers.llm, store, max_words=settings.summary_words), "id", "left"))
+            chosen = store(chosen.drop("summary").join(summarise.summarise(core, providers.llm, store, max_words=settings.summary_words, log=lambda a: audit.events(a, "summarise", "summary", **llm)), "id", "left"))
             audit.event("summarise", "summarise-complete")
+    counters.report(audit, providers.embed)
     rest = table.join(chosen.select("id"), "id", "left_anti")
     final = store(S.conform(chosen).unionByName(S.conform(rest)))
     source = "fallback" if providers.no_llm else "llm"
@@ -203,18 +213,18 @@ def _write_converge(result: Result, criteria, query: str, ts: str, providers: P.
 def discover(spark: SparkSession, docs: str | DataFrame, *, settings: Settings = DISCOVER, providers: P.Providers | None = None, out: str | None = None, loaders=files.LOADERS) -> Result:
     """A topic map of all valid documents; thread messages and duplicates stay in."""
     providers = providers or P.Providers()
-    store, audit = storer(spark), Audit(spark)
+    store, audit, counters = storer(spark), Audit(spark), P.Counters(spark)
     ts = datetime.now(UTC).isoformat()
-    audit.event("cli", "discover-start")
+    audit.event("cli", "discover-start", inputs=dict(settings.__dict__))
     with audit.stage("ingest"):
         table = ingest(spark, docs, audit, store, loaders) if isinstance(docs, str) else store(S.conform(docs))
     with audit.stage("validity"):
-        table = _gate(table, settings, audit, store)
+        table = _gate(table, settings, providers, audit, store)
     with audit.stage("relate"):
-        table, relations = _relate(table, settings, audit, store)
+        table, relations = _relate(table, settings, providers, counters, audit, store)
     core = ranking.candidates(table)
     with audit.stage("topics"):
-        labelled, menu = _topics(core, settings, providers, audit, store)
+        labelled, menu = _topics(core, settings, providers, counters, audit, store)
         table = store(table.drop("topic", "subtopic").join(labelled.select("id", "topic", "subtopic"), "id", "left"))
     summaries: dict = {}
     with audit.stage("summarise"):
@@ -222,8 +232,9 @@ def discover(spark: SparkSession, docs: str | DataFrame, *, settings: Settings =
             audit.event("summarise", "skipped")
         else:
             members = labelled.select(F.concat_ws("\0", "topic", "subtopic").alias("cluster"), "id", F.coalesce("closeness", F.lit(0.0)).alias("closeness"))
-            made = summarise.summarise_clusters(members, core, providers.llm, store, max_words=settings.summary_words)
+            made = summarise.summarise_clusters(members, core, providers.llm, store, max_words=settings.summary_words, log=lambda a: audit.events(a.withColumnRenamed("cluster", "id"), "summarise", "cluster-summary", provider=providers.llm, prompt="prompt"))
             summaries = {tuple(r.cluster.split("\0")): r.summary for r in made.collect()}  # one row for each subtopic
+    counters.report(audit, providers.embed)
     payload = exports.menu_payload(menu, "fallback" if providers.no_llm else "llm", summaries)
     result = Result(S.conform(table), relations, audit.table(), payload, {})
     result.manifest = exports.manifest("discover", ts=ts, providers=providers, params=settings.__dict__, counts=result.counts(), timings=audit.timings)

@@ -10,6 +10,9 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol, runtime_checkable
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions import vectors as V
 
@@ -65,13 +68,14 @@ class HashingEmbed:
         return out
 
 
+@dataclass
 class LexicalReranker:
     """BM25 over the given texts alone, divided by the highest score; ranking.bm25 is the same over a DataFrame."""
 
-    name, location = "bm25", "local"
-
-    def __init__(self, k1: float = 1.5, b: float = 0.75):
-        self.k1, self.b = k1, b
+    k1: float = 1.5
+    b: float = 0.75
+    name: str = "bm25"
+    location: str = "local"
 
     def rerank(self, query: str, texts: Sequence[str]) -> list[float]:
         terms = sorted(set(V.TOKEN.findall(query.lower())))
@@ -207,6 +211,8 @@ class Providers:
     llm: Any = field(default_factory=NoModel)
     no_llm: bool = True
     scope_filter_llm: bool = False
+    #: text -> language code or None; only the audit hears of it
+    detect_language: Callable[[str], str | None] | None = None
 
 
 def resolve(profile: str = "local", *, no_llm: bool = True, **parts: Any) -> Providers:
@@ -220,35 +226,58 @@ def resolve(profile: str = "local", *, no_llm: bool = True, **parts: Any) -> Pro
     return Providers(no_llm=no_llm, **parts)
 
 
-def embedding_column(provider: EmbeddingProvider):
-    """A column function text -> array<double> that calls the provider a batch at a time, in order."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
+class Counters:
+    """What providers count in the workers, summed on the driver. A task that is run again counts again: it called again."""
+
+    NAMES = ("calls", "retries", "truncated", "failed")
+
+    def __init__(self, spark):
+        self.sums = {n: spark.sparkContext.accumulator(0) for n in self.NAMES}
+
+    def counted(self, provider) -> Callable[[Sequence[str]], list[list[float]]]:
+        """provider.embed, with what it adds to its own counters added here."""
+        sums = self.sums
 
+        def embed(texts: Sequence[str]) -> list[list[float]]:
+            own = getattr(provider, "counters", None)
+            before = dict(own or {})
+            out = provider.embed(texts)
+            for n in sums if own else ():
+                sums[n].add(own.get(n, 0) - before.get(n, 0))
+            return out
+
+        return embed
+
+    def report(self, audit, provider) -> None:
+        values = {n: a.value for n, a in self.sums.items()}
+        if any(values.values()):
+            audit.event("cloud", "transport", inputs=values, model=getattr(provider, "name", "?"), location=getattr(provider, "location", "?"))
+
+
+def embedding_column(provider: EmbeddingProvider, counters: Counters | None = None):
+    """A column function text -> array<double> that calls the provider a batch at a time, in order."""
     if isinstance(provider, HashingEmbed):
         return V.hashing_embed
 
+    call = counters.counted(provider) if counters else provider.embed
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series(provider.embed([t or "" for t in texts]), index=texts.index)
+        return pd.Series(call([t or "" for t in texts]), index=texts.index)
 
     return embed
 
 
-def similarity_column(provider: EmbeddingProvider, query: str):
+def similarity_column(provider: EmbeddingProvider, query: str, counters: Counters | None = None):
     """A column function text -> cosine with the query's vector."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
     if isinstance(provider, HashingEmbed):
         return V.hashing_similarity(query)
     wanted = np.array(provider.embed([query])[0], float)
+    call = counters.counted(provider) if counters else provider.embed
 
     @F.pandas_udf(T.DoubleType())
     def similarity(texts: pd.Series) -> pd.Series:
-        x = np.array(provider.embed([t or "" for t in texts]), float)
+        x = np.array(call([t or "" for t in texts]), float)
         scale = np.linalg.norm(x, axis=1) * np.linalg.norm(wanted)
         return pd.Series(np.where(scale > 0, x @ wanted / np.where(scale > 0, scale, 1), 0.0), index=texts.index)
 

@@ -22,7 +22,6 @@ DOCUMENT_FIELDS = (
 )
 DOCUMENTS = T.StructType([T.StructField(n, t) for n, t in DOCUMENT_FIELDS])
 RELATIONS = T.StructType([T.StructField(n, S) for n in ("source", "kind", "target", "evidence")] + [T.StructField("seq", L)])
-CHUNKS = "id string, chunk_id string, ordinal int, chunk string"
 AUDIT = T.StructType(
     [T.StructField("ts", S), T.StructField("stage", S), T.StructField("action", S), T.StructField("document_ids", T.ArrayType(S))]
     + [T.StructField(n, S) for n in ("inputs", "model", "location", "prompt")]

@@ -76,7 +76,17 @@ class OutlookLoader:
         except ImportError as e:
             raise RuntimeError("reading .msg files needs the optional package extract_msg") from e
         m = extract_msg.Message(io.BytesIO(content))
-        return [{"source_path": path, "doc_type": "email", "raw_text": m.body or "", "subject": m.subject, "from_": m.sender, "to_": m.to, "date": str(m.date)}]
+        header = getattr(m, "header", None) or {}
+        row = {"source_path": path, "doc_type": "email", "raw_text": m.body or "", "subject": m.subject, "from_": m.sender, "to_": m.to, "date": str(m.date)}
+        row |= {"message_id": getattr(m, "messageId", None), "in_reply_to": getattr(m, "inReplyTo", None) or header.get("In-Reply-To"), "references": header.get("References"), "cc": getattr(m, "cc", None)}
+        rows = [{k: v for k, v in row.items() if v is not None}]
+        for a in getattr(m, "attachments", ()):
+            name = getattr(a, "longFilename", None) or getattr(a, "shortFilename", None)
+            if name:
+                kind, data = getattr(a, "mimetype", None) or "", getattr(a, "data", b"")
+                text = data.decode("utf-8", "replace") if kind.startswith("text/") and isinstance(data, bytes) else ""
+                rows.append({"source_path": f"{path}#att:{name}", "doc_type": None, "raw_text": text, "filename": name, "content_type": kind, "parent_path": path})
+        return rows
 
 
 PDF_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)

@@ -10,7 +10,8 @@ from gleaner.sources import files
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, *, loaders=files.LOADERS, once: bool = True) -> StreamingQuery:
-    """Appends documents of new files to the Parquet folder `out`/documents and failures to `out`/failures.
+    """Writes documents of new files to the Parquet folder `out`/documents and failures to `out`/failures, each batch to a folder
+    of its number: a batch that is played again replaces itself.
 
     Corpus-wide stages (relations, ranking, topics) stay batch work over what was gathered.
     """
@@ -20,9 +21,8 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, *, loader
 
     def write(batch, number: int) -> None:
         raw = files.load(batch, loaders).persist()
-        files.to_documents(raw).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{out}/documents")
-        failed = raw.filter("status != 'loaded'").select("path", "status", "error", F.lit(number).alias("batch"))
-        failed.write.mode("append").parquet(f"{out}/failures")
+        files.to_documents(raw).write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
+        raw.filter("status != 'loaded'").select("path", "status", "error").write.mode("overwrite").parquet(f"{out}/failures/batch={number}")
         raw.unpersist()
 
     writer = found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -49,3 +49,9 @@ def build(folder: Path) -> Path:
     (folder / "broken.pdf").write_bytes(b"nothing like it")
     (folder / "unknown.xyz").write_bytes(b"\x00\x01")
     return folder
+
+
+def scripted_providers():
+    from gleaner import providers as P
+
+    return P.Providers(llm=P.ScriptedModel(lambda prompt: "SCORE: 50"), no_llm=False)

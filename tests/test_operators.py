@@ -158,8 +158,62 @@ def test_topics(spark):
     assert rows["d0"] == rows["d2"] != rows["d3"] == rows["d5"] and rows["d6"] == rows["d7"] == topics.REST and "aaa" in rows["d0"]
     menu = topics.topic_menu(topics.label_topics(docs, topics.collapse_small(docs, clusters))).collect()
     assert [len(r.subtopics[0].doc_ids) for r in menu] == [3, 3, 2] and menu[-1].label == topics.REST
-    with pytest.raises(ValueError):
-        topics.two_level(np.zeros((topics.MAX_VECTORS + 1, 1)), 0.5, 0.2)
+
+
+def groups_of(df, vectors):
+    found = {r.id: (r.topic_no, r.subtopic_no) for r in df.collect()}
+    return [found[f"d{i:04d}"] for i in range(len(vectors))]
+
+
+def agreement(a, b):
+    """The share of pairs of documents that both sides put together or apart."""
+    a, b = ([x[0] for x in y] for y in (a, b))
+    same = [(a[i] == a[j]) == (b[i] == b[j]) for i in range(len(a)) for j in range(i)]
+    return sum(same) / len(same)
+
+
+def test_clusters_beyond_the_exact_bound_agree_with_exact_ones(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16)) * 3
+    x = np.vstack([centres[i % 12] + rng.normal(size=16) for i in range(400)])
+    df = spark.createDataFrame([(f"d{i:04d}", 0, v.tolist()) for i, v in enumerate(x)], "id string, ordinal int, v array<double>")
+    exact = groups_of(topics.cluster(df, topic_distance=0.5, subtopic_distance=0.2), x)
+    assert [e[0] for e in exact] == topics.two_level(x, 0.5, 0.2)[0] and len({e[0] for e in exact}) == 12
+    assert [e[1] for e in exact] == topics.two_level(x, 0.5, 0.2)[1]
+    for bound in (150, 60):
+        assert agreement(groups_of(topics.cluster(df, topic_distance=0.5, subtopic_distance=0.2, max_points=bound), x), exact) >= 0.98
+    noise = spark.createDataFrame([(f"d{i:04d}", 0, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 16)))], "id string, ordinal int, v array<double>")
+    assert topics.cluster(noise, max_points=20).count() == 300, "vectors without clusters are not refused"
+
+
+def test_weighted_linkage_is_that_of_the_single_vectors():
+    x = topics.unit(np.random.default_rng(5).normal(size=(9, 4)))
+    twice = np.vstack([x, x[:3]])
+    heights = [h for _, _, h in topics.average_linkage(x, np.array([2, 2, 2, 1, 1, 1, 1, 1, 1.0]))]
+    assert sorted(heights) == pytest.approx(sorted(topics.average_linkage(twice), key=lambda m: m[2])[3:] and sorted(h for _, _, h in topics.average_linkage(twice))[3:], abs=1e-9)
+
+
+def test_leaders_of_a_long_chain_and_of_random_links(spark):
+    store, rng = storer(spark), np.random.default_rng(1)
+    chain = [(f"n{i:05d}", f"n{i + 1:05d}") for i in range(600)]
+    random = sorted({(f"r{min(a, b):03d}", f"r{max(a, b):03d}") for a, b in rng.integers(0, 120, (300, 2)).tolist() if a != b})
+    nodes = sorted({n for e in chain + random for n in e} | {"z"})
+    edges = spark.createDataFrame(chain + random, "a string, b string")
+    want, led = {}, {}
+    for n in nodes:
+        before = [a for a, b in chain + random if b == n and want.get(a) == a]
+        want[n] = min(before, default=n)
+    for kw in ({}, {"rounds": 1, "one_task": 10**6}, {"rounds": 0}):
+        led = {r.node: r.leader for r in duplicates.leaders(spark.createDataFrame([(n,) for n in nodes], "node string"), edges, store, **kw).collect()}
+        assert led == want
+    with pytest.raises(RuntimeError):
+        duplicates.leaders(spark.createDataFrame([(n,) for n in nodes], "node string"), edges, store, max_rounds=3)
+
+
+def test_no_text_is_shuffled_for_candidates(spark):
+    docs = spark.createDataFrame([("a", "one two three four"), ("b", "one two three four five")], "id string, text string")
+    plan = duplicates.minhash_candidates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(text" not in plan and "first(text" not in plan
 
 
 def test_threads_by_subject_and_broken_headers(spark):
