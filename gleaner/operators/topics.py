@@ -134,7 +134,7 @@ def _points(vectors: DataFrame) -> DataFrame:
 
 
 def _in_cells(points: DataFrame, n: int, distance: float, store) -> DataFrame:
-    """points (point, s, n) -> point, into: the point that each one is merged into, decided cell by cell."""
+    """points (point, s, n) -> point, into (the point that it is merged into, decided cell by cell), and s, n of the points that stay."""
     pivots = min(MAX_PIVOTS, -(-n // CELL) * 2)
     chosen = points.orderBy(F.xxhash64("point.id", "point.ordinal"), "point").limit(pivots).select("s").toArrow()  # at most MAX_PIVOTS vectors
     centres = unit(np.array(chosen["s"].to_pylist(), np.float64))
@@ -152,22 +152,36 @@ def _in_cells(points: DataFrame, n: int, distance: float, store) -> DataFrame:
         keys, heads, into = pdf["key"].tolist(), {}, []
         for k, c in zip(keys, merged_cell(mean, weight, distance), strict=True):
             into.append(heads.setdefault(c, k))
-        return pd.DataFrame({"id": [k[0] for k in keys], "ordinal": [k[1] for k in keys], "to_id": [k[0] for k in into], "to_ordinal": [k[1] for k in into]})
+        place = {k: i for i, k in enumerate(heads.values())}
+        at, size = np.array([place[k] for k in into]), len(place)
+        total, count = np.zeros((size, mean.shape[1])), np.bincount(at, weight, size)
+        np.add.at(total, at, mean * weight[:, None])
+        head = [k if k == t else None for k, t in zip(keys, into, strict=True)]
+        return pd.DataFrame({
+            "id": [k[0] for k in keys], "ordinal": [k[1] for k in keys], "to_id": [k[0] for k in into], "to_ordinal": [k[1] for k in into],
+            "s": [None if h is None else total[place[h]] for h in head], "n": pd.array([None if h is None else int(count[place[h]]) for h in head], "Int64"),
+        })
 
     celled = store(points.withColumn("cell", nearest("s")))
     # a cell that many points are nearest to is dealt out evenly
     size = celled.groupBy("cell").agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts"))  # at most MAX_PIVOTS rows
     part = F.pmod(F.xxhash64("point.id", "point.ordinal"), F.col("parts"))
     dealt = celled.join(F.broadcast(size), "cell").withColumn("part", part)
-    made = dealt.groupBy("cell", "part").applyInPandas(merge, "id string, ordinal long, to_id string, to_ordinal long")
-    return made.select(F.struct("id", "ordinal").alias("point"), F.struct(F.col("to_id").alias("id"), F.col("to_ordinal").alias("ordinal")).alias("into"))
+    made = dealt.groupBy("cell", "part").applyInPandas(merge, "id string, ordinal long, to_id string, to_ordinal long, s array<double>, n long")
+    return made.select(F.struct("id", "ordinal").alias("point"), F.struct(F.col("to_id").alias("id"), F.col("to_ordinal").alias("ordinal")).alias("into"), "s", "n")
 
 
-def _sums(points: DataFrame, by: str) -> DataFrame:
-    """by, s (sum of vectors), n of points (by, s, n): positions are summed by partial sums."""
-    flat = points.select(by, F.posexplode("s").alias("pos", "x")).groupBy(by, "pos").agg(F.sum("x").alias("x"))
-    s = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"])
-    return flat.groupBy(by).agg(s.alias("s")).join(points.groupBy(by).agg(F.sum("n").alias("n")), by)
+def _centres(placed: DataFrame) -> DataFrame:
+    """topic_no, centre: the direction of the sum of the documents' means; each batch sends one sum for each of its topics."""
+
+    def partial(batches):
+        for b in batches:
+            for topic, part in b.groupby("topic_no"):
+                yield pd.DataFrame({"topic_no": [topic], "s": [np.sum(part["s"].tolist(), axis=0)]})
+
+    flat = placed.select("topic_no", "s").mapInPandas(partial, "topic_no long, s array<double>").select("topic_no", F.posexplode("s").alias("pos", "x"))
+    flat = flat.groupBy("topic_no", "pos").agg(F.sum("x").alias("x"))
+    return flat.groupBy("topic_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("centre"))
 
 
 def cluster(
@@ -184,8 +198,8 @@ def cluster(
     named = rows.select("id", "ordinal", "v", F.col("point").alias("at"))
     while (n := points.count()) > max_points:
         into = store(_in_cells(points, n, subtopic_distance / 2, store))
-        points = store(_sums(points.join(into, "point").select(F.col("into").alias("point"), "s", "n"), "point"))
-        named = store(named.join(into.withColumnRenamed("point", "at"), "at").select("id", "ordinal", "v", F.col("into").alias("at")))
+        points = into.filter("n is not null").select("point", "s", "n")
+        named = store(named.join(into.select(F.col("point").alias("at"), "into"), "at").select("id", "ordinal", "v", F.col("into").alias("at")))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "ordinal"]).reset_index(drop=True)
@@ -204,9 +218,8 @@ def cluster(
 
     chunks = named.join(linked, "at").select("id", "ordinal", "v", "topic", "subtopic")
     placed = store(chunks.groupBy("id").applyInPandas(place, "id string, topic_no long, subtopic_no long, s array<double>"))
-    centres = _sums(placed.select("topic_no", "s", F.lit(1).alias("n")), "topic_no").select("topic_no", F.col("s").alias("centre"))
     close = F.round(V.cosine(F.col("s"), F.col("centre")), 9)
-    return placed.join(centres, "topic_no").select("id", "topic_no", "subtopic_no", close.alias("closeness"))
+    return placed.join(_centres(placed), "topic_no").select("id", "topic_no", "subtopic_no", close.alias("closeness"))
 
 
 def collapse_small(docs: DataFrame, clusters: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
