@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-BULLET = re.compile(r"^\s*(?:[-*•–]|\d+[.)])*\s*")
+#: What may stand before a label.
+BULLETS = "-*0123456789. "
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ def parse_criteria(answer: str) -> list[Criterion]:
     """`label: description` lines; bullets and numbers go, lines without both parts too."""
     out = []
     for line in answer.splitlines():
-        label, colon, description = BULLET.sub("", line).partition(":")
+        label, colon, description = line.strip().lstrip(BULLETS).partition(":")
         if colon and label.strip() and description.strip():
             out.append(Criterion(label.strip(), description.strip()))
     return out

@@ -213,9 +213,10 @@ def near_dup_leaders(spark, sf_dir):
 
 
 def overlap_edges(spark, sf_dir):
+    """Overlaps alone, below a bar for duplicates that leaves some."""
     store = storer(spark)
     docs, edges = _edges(spark, sf_dir, store)
-    return duplicates.near_duplicates(docs, store, edges=edges.filter("cos >= 0.7")).filter(F.col("kind") == S.OVERLAPS_WITH).select("source", "target", "evidence")
+    return duplicates.near_duplicates(docs, store, near=0.98, edges=edges.filter("cos >= 0.7")).filter(F.col("kind") == S.OVERLAPS_WITH).select("source", "target", "evidence")
 
 
 def overlap_low_threshold(spark, sf_dir):
@@ -328,7 +329,7 @@ def thread_tail_filter(spark, sf_dir):
     store = storer(spark)
     placed = threads.link_threads(_threads(spark, sf_dir, store), store)[1]
     rows = S.conform(placed.withColumn("doc_type", F.lit("email")))
-    return scope.scope_filter(rows, rules=(scope.thread_tail,)).select("id", "decision")
+    return scope.scope_filter(rows, rules=(scope.thread_tail,)).select("id", "decision", F.coalesce("decision_reason", F.lit("")).alias("reason"))
 
 
 def scope_rules_first_match(spark, sf_dir):
@@ -445,7 +446,31 @@ hx AS (SELECT DISTINCT id, CAST(('0x' || substr(sha1(g), 1, 8)) AS BIGINT) % {du
 mh AS (SELECT id, i, min((a * x + b) % {duplicates.PRIME}) AS m FROM hx, perm GROUP BY id, i),
 bk AS (SELECT id, i // {duplicates.ROWS} AS band, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS k FROM mh GROUP BY id, i // {duplicates.ROWS})"""
 
+
+
+def near_sql(near: float, low: float) -> str:
+    """The greedy rule in SQL: nodes in path order, one a step, each a leader unless an earlier adjacent one is."""
+    minhash = MINHASH.replace("SELECT min(id) AS id, first(text) AS text FROM docs WHERE text <> '' GROUP BY sha256(text)", "SELECT id, text FROM firsts")
+    return f"""WITH RECURSIVE {DOCS}, {EXACT}, firsts AS (SELECT * FROM docs WHERE text <> '' AND id NOT IN (SELECT source FROM exact)), {minhash},
+cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bk x JOIN bk y ON x.band = y.band AND x.k = y.k AND x.id < y.id),
+cnt AS (SELECT id, b, count(*) AS n FROM (SELECT id, {BUCKET.format('t')} AS b FROM (SELECT id, unnest({TOKENS.format('text')}) AS t FROM firsts WHERE id IN (SELECT a FROM cand UNION SELECT b FROM cand))) GROUP BY id, b),
+len2 AS (SELECT id, sum(n * n) AS s FROM cnt GROUP BY id),
+dots AS (SELECT a, cand.b, sum(x.n * y.n) AS d FROM cand JOIN cnt x ON x.id = a JOIN cnt y ON y.id = cand.b AND y.b = x.b GROUP BY a, cand.b),
+cosines AS (SELECT pa.source_path AS p, pb.source_path AS q, round(d / sqrt(CAST(la.s * lb.s AS DOUBLE)), 6) AS cos FROM dots JOIN len2 la ON la.id = a JOIN len2 lb ON lb.id = b JOIN firsts pa ON pa.id = a JOIN firsts pb ON pb.id = b),
+rel AS (SELECT least(p, q) AS a, greatest(p, q) AS b, cos FROM cosines WHERE cos >= {low}), close AS (SELECT * FROM rel WHERE cos >= {near}),
+o AS (SELECT node, list(a) FILTER (WHERE a IS NOT NULL) AS adj, row_number() OVER (ORDER BY node) AS i FROM (SELECT b AS node, a FROM close UNION SELECT a, NULL FROM close) GROUP BY node),
+st AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS l UNION ALL SELECT o.i, CASE WHEN list_has_any(l, coalesce(adj, [])) THEN l ELSE list_append(l, node) END FROM st JOIN o ON o.i = st.i + 1),
+chief AS (SELECT unnest(l) AS node FROM st WHERE i = (SELECT max(i) FROM st)),
+lead AS (SELECT source_path AS node, CASE WHEN source_path IN (SELECT b FROM close) AND source_path NOT IN (SELECT node FROM chief) THEN (SELECT min(a) FROM close WHERE b = source_path AND a IN (SELECT node FROM chief)) ELSE source_path END AS leader FROM firsts),
+made AS (SELECT a, b, cos, 'duplicate-of' AS kind FROM close JOIN lead ON node = b AND leader = a
+UNION ALL SELECT a, b, cos, 'overlaps-with' FROM rel JOIN lead x ON x.node = a JOIN lead y ON y.node = b WHERE cos < {near} AND x.leader = a AND (y.leader = b OR y.leader > a)),
+named AS (SELECT s.id AS source, kind, t.id AS target, CASE kind WHEN 'duplicate-of' THEN 'near-duplicate' ELSE 'overlap' END || ' cosine=' || printf('%.3f', CAST(round(CAST(cos AS DECIMAL(12, 6)), 3) AS DOUBLE)) AS evidence FROM made JOIN firsts t ON t.source_path = a JOIN firsts s ON s.source_path = b) """
+
+
 ORACLE_SQL = {
+    "near_dup_leaders": near_sql(0.9, 0.7) + "SELECT source, target, evidence FROM named WHERE kind = 'duplicate-of'",
+    "overlap_edges": near_sql(0.98, 0.7) + "SELECT source, target, evidence FROM named WHERE kind = 'overlaps-with'",
+    "overlap_low_threshold": near_sql(0.995, 0.3) + "SELECT source, kind, target, evidence FROM named",
     "doc_identity": f"WITH {DOCS} SELECT doc_id, id, source_path FROM docs",
     "ingest_table": f"WITH {DOCS} SELECT id, source_path, 'other' AS doc_type, length(text) AS char_count, 0.0::DOUBLE AS redaction_ratio FROM docs",
     "normalize_perturbed": f"{PERTURBED}, n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '[ \\t\\f\\v\\r]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS c FROM x) SELECT doc_id, length(c) AS n, sha256(c) AS digest FROM n",
@@ -479,7 +504,7 @@ ORACLE_SQL = {
     "score_regex_parse": "WITH x AS (SELECT doc_id, doc_id % 4 AS k, doc_id % 140 AS n FROM documents) SELECT doc_id, CASE WHEN k = 3 THEN 0.0 ELSE least(100, n) / 100.0 END::DOUBLE AS llm_relevance, CASE k WHEN 0 THEN 'goed ' || n WHEN 1 THEN 'past bij ' || n WHEN 2 THEN 'de score ' || n || ' is gegeven' ELSE 'geen oordeel over ' || n END AS rationale FROM x",
     "thread_roots": f"WITH {THREADS} SELECT id, root, depth FROM p",
     "thread_tips": f"WITH {THREADS} SELECT id, root AS thread_id, size AS thread_size, id = tip AS thread_tip, tip AS thread_tip_id FROM p",
-    "thread_tail_filter": f"WITH {THREADS} SELECT id, CASE WHEN size > 1 AND id <> tip THEN 'out_of_scope' ELSE 'undecided' END AS decision FROM p",
+    "thread_tail_filter": f"WITH {THREADS} SELECT id, CASE WHEN size > 1 AND id <> tip THEN 'out_of_scope' ELSE 'undecided' END AS decision, CASE WHEN size > 1 AND id <> tip THEN printf('{scope.TAIL}', tip) ELSE '' END AS reason FROM p",
     "scope_rules_first_match": f"WITH r AS (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 10 = 0 THEN '{scope.FORWARDED}' WHEN doc_id % 15 = 0 OR (doc_id % 5 <> 0 AND doc_id % 7 = 0) THEN '{scope.INVITE}' WHEN doc_id % 6 = 0 OR (doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 = 0) THEN '{scope.PROCESS}' END AS reason FROM documents) SELECT doc_id, CASE WHEN reason IS NULL THEN 'undecided' ELSE 'out_of_scope' END AS decision, coalesce(reason, '') AS reason FROM r",
     "cosine_pairs_band": f"WITH {CENTRES} SELECT vec_id, label, cos, CASE WHEN cos >= 0.9 THEN 'duplicate' WHEN cos >= 0.7 THEN 'overlap' ELSE 'none' END AS band FROM s",
     "centroid_medoid": f"WITH {CENTRES} SELECT label, max(cos) AS cos, first(vec_id ORDER BY cos DESC, vec_id) AS medoid FROM s GROUP BY label",
