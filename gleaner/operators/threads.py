@@ -46,12 +46,22 @@ def header_parents(mails: DataFrame) -> DataFrame:
     return best.select("child", F.col("m.parent").alias("parent"), F.concat(F.lit("header:"), F.col("m.mid")).alias("evidence"))
 
 
-def subject_parents(mails: DataFrame, linked: DataFrame) -> DataFrame:
-    """Mails without a header parent, of one subject (prefixes ignored), follow each other by date."""
+def subject_parents(mails: DataFrame, linked: DataFrame, store) -> DataFrame:
+    """Mails without a header parent, of one subject (prefixes ignored), follow each other by date, then path and id.
+
+    The mails are dealt over ranges of (subject, date, path, id), so one subject of any size fills many tasks. The first mail of a
+    range follows the last one of the range before; only those last mails, one a range, meet in one place.
+    """
     loose = mails.join(linked.select(F.col("child").alias("id")), "id", "left_anti").withColumn("subj", X.norm_subject(F.coalesce("subject", F.lit(""))))
-    order = Window.partitionBy("subj").orderBy(F.col("sent").asc_nulls_first(), "source_path")
-    chained = loose.filter("subj != ''").withColumn("parent", F.lag("id").over(order)).filter("parent is not null and parent != id")
-    return chained.select(F.col("id").alias("child"), "parent", F.concat(F.lit("heuristiek:"), F.col("subj")).alias("evidence"))
+    keys = [F.col("subj"), F.col("sent").asc_nulls_first(), F.col("source_path"), F.col("id")]
+    dealt = loose.filter("subj != ''").select("id", "subj", "sent", "source_path").repartitionByRange(*keys)
+    dealt = store(dealt.withColumn("part", F.spark_partition_id()))
+    mail = F.struct("id", "subj")
+    ends = dealt.groupBy("part").agg(F.max_by(mail, F.struct("subj", "sent", "source_path", "id")).alias("end"))
+    ends = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("end"))  # one row a range
+    before = F.coalesce(F.lag(mail).over(Window.partitionBy("part").orderBy(*keys)), F.col("end"))
+    chained = dealt.join(ends, "part").withColumn("before", before).filter("before.subj = subj and before.id != id")
+    return chained.select(F.col("id").alias("child"), F.col("before.id").alias("parent"), F.concat(F.lit("heuristiek:"), F.col("subj")).alias("evidence"))
 
 
 def roots(ids: DataFrame, parents: DataFrame, store, max_rounds: int = 40) -> DataFrame:
@@ -82,7 +92,7 @@ def link_threads(mails: DataFrame, store) -> tuple[DataFrame, DataFrame]:
     """
     mails = store(mails.withColumn("sent", mail_date("date")))
     linked = header_parents(mails)
-    edges = store(linked.unionByName(subject_parents(mails, linked)))
+    edges = store(linked.unionByName(subject_parents(mails, linked, store)))
     placed = roots(mails.select("id"), edges.select("child", "parent"), store).join(mails.select("id", "sent"), "id")
     leaves = placed.join(edges.select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
     rank = F.struct("depth", F.coalesce("sent", F.lit("0001-01-01").cast("timestamp")), "id")

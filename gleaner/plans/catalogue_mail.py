@@ -44,7 +44,7 @@ def subject_thread_parents(spark, sf_dir):
     """Mails without headers follow each other by subject and date."""
     mails = _mails(spark, sf_dir).withColumn("sent", threads.mail_date("date"))
     none = spark.createDataFrame([], "child string, parent string, evidence string")
-    return threads.subject_parents(mails, none).select(F.col("child").alias("id"), "parent", "evidence")
+    return threads.subject_parents(mails, none, storer(spark)).select(F.col("child").alias("id"), "parent", "evidence")
 
 
 def reference_parents(spark, sf_dir):
