@@ -84,8 +84,8 @@ class Vocabulary:
         from tokenizers import Tokenizer, pre_tokenizers
 
         made = json.loads(text)
-        self.whole = Tokenizer.from_str(text)
         self.words = Tokenizer.from_str(text)
+        self.splitter = self.words.pre_tokenizer  # outlives the change; a second tokenizer would hold the merges twice
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words.encode_special_tokens = True
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
@@ -107,7 +107,7 @@ class Vocabulary:
     def _split(self, text: str) -> list[str]:
         if self.foreign.search(text) is None:
             return self.rule.findall(text)
-        return [text[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(text)] if text else []
+        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)] if text else []
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""
