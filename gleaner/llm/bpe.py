@@ -83,7 +83,7 @@ class Vocabulary:
     def __init__(self, text: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        made = json.loads(text)
+        self.text, made = text, json.loads(text)
         self.words = Tokenizer.from_str(text)
         self.splitter = self.words.pre_tokenizer  # outlives the change; a second tokenizer would hold the merges twice
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -94,6 +94,13 @@ class Vocabulary:
         self.rule, self.foreign = split_patterns()
         self.ids = {**made["model"]["vocab"], **self.special}
 
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer, made only where it is asked for: it holds all merges a second time."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.text)
+
     def split(self, text: str) -> list[str]:
         """The text's words in order; special tokens stand alone."""
         if self.special_pattern and any(s in text for s in self.special):
